@@ -7,12 +7,12 @@ scales SQL is run on; the other operators are tested against brute force.
 ORACLE = {
     "p1_day_percentiles": """
 WITH cat AS (SELECT id, min(category) AS category FROM e2e_set GROUP BY id),
-rep AS (SELECT report_id, any_value(id) AS id, any_value(generated_at) AS at, any_value(latency_ms) AS v FROM e2e_report GROUP BY report_id),
-ben AS (SELECT bench_id, any_value(model) AS model, any_value(finished_at) AS at, any_value(latency) AS v FROM benchmark_results GROUP BY bench_id),
+rep AS (SELECT report_id, any_value(id) AS id, any_value(generated_at) AS moment, any_value(latency_ms) AS v FROM e2e_report GROUP BY report_id),
+ben AS (SELECT bench_id, any_value(model) AS model, any_value(finished_at) AS moment, any_value(latency) AS v FROM benchmark_results GROUP BY bench_id),
 vals AS (
-  SELECT 'e2e_latency_ms' AS metric, c.category AS grp, CAST(r.at AS DATE) AS day, CAST(r.v AS DOUBLE) AS v FROM rep r LEFT JOIN cat c ON r.id = c.id
+  SELECT 'e2e_latency_ms' AS metric, c.category AS grp, CAST(r.moment AS DATE) AS day, CAST(r.v AS DOUBLE) AS v FROM rep r LEFT JOIN cat c ON r.id = c.id
   UNION ALL
-  SELECT 'bench_latency_s', model, CAST(at AS DATE), v FROM ben),
+  SELECT 'bench_latency_s', model, CAST(moment AS DATE), v FROM ben),
 cells AS (SELECT metric, grp, day, count(*) AS n_rows, count(*) FILTER (v > 0 AND isfinite(v)) AS n_measured FROM vals GROUP BY ALL),
 ranked AS (SELECT metric, grp, day, v, row_number() OVER (PARTITION BY metric, grp, day ORDER BY v) AS rn FROM vals WHERE v > 0 AND isfinite(v)),
 probs AS (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]) :: DOUBLE AS prob)
