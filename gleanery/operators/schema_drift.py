@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.runtime import bounded_rows
+from gleanery.runtime import bounded_rows, cut_lineage
 
 #: JSON kinds in the order that breaks ties.
 KINDS = ("string", "number", "boolean", "array", "object")
@@ -117,17 +117,21 @@ def schema_changes(lines: DataFrame, share: float = 0.8, least: int = 3) -> Data
     (and at least ``least``) of the cases with both values have equal ones; each path takes part in
     one rename, the best match first. Changes below a changed path are left out.
     """
-    cells = payload_cells(lines).persist()
-    schema = file_schemas(cells).persist()
+    # The lines are parsed twice rather than kept exploded; what is kept (schemas, pairs, changes) is schema-sized.
+    cells = payload_cells(lines)
+    schema = cut_lineage(file_schemas(cells))
     pairs = files_in_order(lines)
     new = pairs.join(schema.drop("series_id"), "file_id").select("file_id", "path", "parent", F.col("kind").alias("new_kind"))
     old = pairs.join(schema.drop("series_id").withColumnRenamed("file_id", "old_file"), "old_file").select("file_id", "old_file", "path", "parent", F.col("kind").alias("old_kind"))
-    both = old.join(new, ["file_id", "path", "parent"], "full_outer").filter(~F.col("old_kind").eqNullSafe(F.col("new_kind"))).persist()
+    both = old.join(new, ["file_id", "path", "parent"], "full_outer").filter(~F.col("old_kind").eqNullSafe(F.col("new_kind")))
+    both = cut_lineage(both)
 
     gone = both.filter("new_kind is null").select("file_id", "old_file", "parent", F.col("path").alias("old_path"), F.col("old_kind").alias("kind"))
     came = both.filter("old_kind is null").select("file_id", "parent", F.col("path").alias("new_path"), F.col("new_kind").alias("kind"))
-    couples = gone.join(came, ["file_id", "parent", "kind"])
-    values = cells.filter("case_id is not null").groupBy("file_id", "path", "case_id").agg(F.max("value").alias("value"))
+    couples = cut_lineage(gone.join(came, ["file_id", "parent", "kind"]))
+    # Only values of paths that may be renamed are shuffled.
+    wanted = couples.select(F.col("old_file").alias("file_id"), F.col("old_path").alias("path")).union(couples.select("file_id", F.col("new_path").alias("path"))).distinct()
+    values = cells.filter("case_id is not null").join(wanted, ["file_id", "path"], "left_semi").groupBy("file_id", "path", "case_id").agg(F.max("value").alias("value"))
     old_values = couples.join(values.select(F.col("file_id").alias("old_file"), F.col("path").alias("old_path"), "case_id", F.col("value").alias("old_value")), ["old_file", "old_path"])
     matched = (
         old_values.join(values.select("file_id", F.col("path").alias("new_path"), "case_id", F.col("value").alias("new_value")), ["file_id", "new_path", "case_id"])
@@ -135,14 +139,14 @@ def schema_changes(lines: DataFrame, share: float = 0.8, least: int = 3) -> Data
         .agg(F.count(F.lit(1)).alias("n_both"), F.count(F.when(F.col("old_value") == F.col("new_value"), 1)).alias("n_equal"))
         .filter((F.col("n_equal") >= least) & (F.col("n_equal") >= share * F.col("n_both") - 1e-9))
     )
-    renames = matched.groupBy("file_id").applyInPandas(_best_first, "file_id long, old_path string, new_path string")
+    renames = cut_lineage(matched.groupBy("file_id").applyInPandas(_best_first, "file_id long, old_path string, new_path string"))
 
     removed = gone.select("file_id", F.col("old_path").alias("path")).join(renames.withColumnRenamed("old_path", "path"), ["file_id", "path"], "left")
     removed = removed.select("file_id", "path", F.when(F.col("new_path").isNull(), "removed").otherwise("renamed").alias("change_kind"), F.coalesce("new_path", F.lit("")).alias("new_path"))
     added = came.select("file_id", F.col("new_path").alias("path")).join(renames.select("file_id", F.col("new_path").alias("path")), ["file_id", "path"], "left_anti")
     added = added.select("file_id", "path", F.lit("added").alias("change_kind"), F.lit("").alias("new_path"))
     retyped = both.filter("old_kind is not null and new_kind is not null").select("file_id", "path", F.lit("type_changed").alias("change_kind"), F.lit("").alias("new_path"))
-    changes = removed.unionByName(added).unionByName(retyped)
+    changes = cut_lineage(removed.unionByName(added).unionByName(retyped).distinct())
 
     # Roots below which nothing is reported: every changed path and, of a rename, the new one too.
     roots = changes.select("file_id", F.explode(F.array_distinct(F.filter(F.array("path", "new_path"), lambda p: p != ""))).alias("root"))
@@ -151,7 +155,7 @@ def schema_changes(lines: DataFrame, share: float = 0.8, least: int = 3) -> Data
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     below = changes.filter(F.col("path").contains(".")).select("file_id", "path", "change_kind", "new_path", F.explode(prefixes).alias("root"))
     hidden = below.join(roots, ["file_id", "root"], "left_semi").select("file_id", "path", "change_kind", "new_path").distinct()
-    return changes.join(hidden, ["file_id", "path", "change_kind", "new_path"], "left_anti").distinct()
+    return changes.join(hidden, ["file_id", "path", "change_kind", "new_path"], "left_anti")
 
 
 def _best_first(pdf):
@@ -183,7 +187,7 @@ def union_schema(cells: DataFrame) -> DataFrame:
 
 def unified_table(lines: DataFrame) -> DataFrame:
     """All sound lines of all files in one table: a column per path, cast to its promoted type."""
-    cells = payload_cells(lines).persist()
+    cells = payload_cells(lines)
     columns = sorted((r["path"], r["data_type"]) for r in bounded_rows(union_schema(cells), MAX_COLUMNS, "columns of the union table"))
     keys = ["series_id", "file_id", "line_no", "case_id"]
     text = F.when(F.col("kind") == "string", F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), T.StructType([T.StructField("v", T.StringType())]))["v"]).otherwise(F.col("value"))
