@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules whose import registers queries.
-MODULES = ("drift",)
+MODULES = ("drift", "retrieval")
 
 
 def load():
