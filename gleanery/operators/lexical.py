@@ -19,7 +19,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 def rank_within(df: DataFrame, group: str, order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
     """1-based rank per group; with ``k`` Spark keeps only k rows per group before the shuffle."""
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked if k is None else ranked.filter(F.col(name) <= k)
+    # The cast comes after the filter, which Spark must see on the rank itself.
+    return (ranked if k is None else ranked.filter(F.col(name) <= k)).withColumn(name, F.col(name).cast("long"))
 
 
 def postings(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -90,7 +90,7 @@ def case_scores(spark, d):
     return scored.withColumn("total_raw", sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0)))
 
 
-@query("a8_case_scores", f"{_SCORE_SQL} SELECT report_id, passed, refuse, accuracy, completeness, relevance, citation_quality, time_score, anti_hallucination, format_score, fluency, round(total_raw, 4) AS total_score FROM t")
+@query("a8_case_scores", f"{_SCORE_SQL} SELECT report_id, passed, refuse, accuracy, completeness, relevance, citation_quality :: DOUBLE AS citation_quality, time_score :: DOUBLE AS time_score, anti_hallucination, format_score :: DOUBLE AS format_score, fluency :: DOUBLE AS fluency, round(total_raw, 4) AS total_score FROM t")
 def case_score_rows(spark, d):
     return case_scores(spark, d).select("report_id", "passed", "refuse", *[k for k in WEIGHTS], F.round("total_raw", 4).alias("total_score"))
 

@@ -22,9 +22,13 @@ def questions(spark, d):
     return out.filter("q is not null").distinct()
 
 
+def _typed(sql, decision):
+    return f"CAST({sql} AS DOUBLE)" if isinstance(decision.default, float) else sql
+
+
 def _decision(name, **columns):
     """A query with one column per decision over all distinct questions."""
-    sql = f"WITH {QUESTIONS} SELECT q, {', '.join(f'{c.sql(S.strip("q"))} AS {k}' for k, c in columns.items())} FROM qs"
+    sql = f"WITH {QUESTIONS} SELECT q, {', '.join(f'{_typed(c.sql(S.strip("q")), c)} AS {k}' for k, c in columns.items())} FROM qs"
 
     @query(name, sql)
     def run(spark, d):
