@@ -44,7 +44,7 @@ def scan_counts(files: DataFrame) -> DataFrame:
 
 def decode_files(files: DataFrame) -> DataFrame:
     """``source, text, file_hash`` of kept files of at least LEAST_CHARS; broken bytes become replacement marks."""
-    kept = files.filter("skipped is null").select(F.col("path").alias("source"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    kept = files.filter("skipped is null").select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return kept.filter(F.length("text") >= LEAST_CHARS).withColumn("file_hash", F.md5("text"))
 
 

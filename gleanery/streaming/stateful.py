@@ -70,8 +70,8 @@ def walk(events: DataFrame, make: Callable[[], SlidingLimit | Breaker]) -> DataF
     return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInArrow(run, "event_id long, key long, allowed boolean")
 
 
-def limit_stream(events: DataFrame, most: int = 60, seconds: float = 60.0) -> DataFrame:
-    """The rate limit on a stream of ``event_id, key, at``; idle keys are dropped after the window."""
+def limit_stream(events: DataFrame, most: int = 60, seconds: float = 60.0, late: str = "1 minute") -> DataFrame:
+    """The rate limit on a stream of ``event_id, key, ts``; a key's state goes once the watermark has left its window."""
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -81,10 +81,11 @@ def limit_stream(events: DataFrame, most: int = 60, seconds: float = 60.0) -> Da
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         rows["allowed"] = [limit.step(t) for t in rows["at"]]
         state.update((list(limit.kept),))
-        state.setTimeoutDuration(int(seconds * 1000))
+        state.setTimeoutTimestamp(max(int((rows["at"].iloc[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows[["event_id", "key", "allowed"]]
 
-    return events.groupBy("key").applyInPandasWithState(run, "event_id long, key long, allowed boolean", "kept array<double>", "append", "ProcessingTimeTimeout")
+    timed = events.withWatermark("ts", late).select("event_id", "key", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
+    return timed.groupBy("key").applyInPandasWithState(run, "event_id long, key long, allowed boolean", "kept array<double>", "append", "EventTimeTimeout")
 
 
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
