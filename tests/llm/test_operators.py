@@ -71,6 +71,7 @@ def test_roll_up_equals_all_rows(spark):
         ("本页面依赖脚本，否则无法显示正文。", "script_notice"),
         ("Heading goes here\n\nSample paragraph, please overwrite.", "filler"),
         ("foo bar baz " * 20, "filler"),
+        ("此处文字正在建设中，请勿发布。", "filler"),
         ("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor.", "filler"),
         ("A page that asks you to enable JavaScript gives the crawler nothing but that notice, so such sources are rendered first. The renderer keeps a pool of browsers for them.", None),
         ("When the gateway answers with 404 Not Found or 502, the retry policy waits two seconds and then uses the spare set.", None),
@@ -81,12 +82,12 @@ def test_body_kinds(text, kind):
     assert residue.body_kind(text, True, False) == kind
 
 
-@pytest.mark.parametrize("text", ["Dear {{name}}, hello", "By ${author}.", "[INSERT TITLE HERE]", "更新于【此处填写日期】，", "Last changed on [object Object].", "%(count)s hits", "亲爱的undefined，您好"])
+@pytest.mark.parametrize("text", ["Dear {{name}}, hello", "By ${author}.", "[INSERT TITLE HERE]", "更新于【此处填写日期】，", "Last changed on [object Object].", "%(count)s hits", "亲爱的undefined，您好", "更新于__USER_NAME__，如", "本节由{user.name}整理", "%(item.label)s"])
 def test_placeholders(text):
     assert residue.has_placeholder(text)
 
 
-@pytest.mark.parametrize("text", ["Write `%(count)s` where the number stands.", "```\n{{x}}\n```", "a set {1, 2} and f(x) = {y}"[:18], "50% of [1] cases"])
+@pytest.mark.parametrize("text", ["Write `%(count)s` where the number stands.", "```\n{{x}}\n```", "a set {1, 2} and f(x) = {y}"[:18], "50% of [1] cases", "call __init__ first"])
 def test_code_is_no_placeholder(text):
     assert not residue.has_placeholder(text)
 
