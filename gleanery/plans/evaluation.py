@@ -101,11 +101,11 @@ _GRADE = "CASE WHEN {p} >= 0.85 AND {m} >= 7.5 THEN 'A' WHEN {p} >= 0.7 AND {m}
 @query(
     "a9_report_rollup",
     f"""{_SCORE_SQL}, g AS (SELECT category, allow_refuse, grouping(category, allow_refuse) AS level, count(*) AS n, avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) AS p, avg(total_raw) AS m, avg(h) AS h FROM t GROUP BY ROLLUP (category, allow_refuse))
-SELECT category, allow_refuse, level :: BIGINT AS level, n, round(p, 4) AS pass_rate, round(m, 3) AS mean_score, round(h, 4) AS mean_hallucination, {_GRADE.format(p='round(p, 4)', m='round(m, 3)')} AS grade FROM g""",
+SELECT category, allow_refuse, level :: BIGINT AS level, n, round(p, 6) AS pass_rate, round(m, 6) AS mean_score, round(h, 6) AS mean_hallucination, {_GRADE.format(p='round(p, 6)', m='round(m, 6)')} AS grade FROM g""",
 )
 def report_rollup(spark, d):
     g = case_scores(spark, d).rollup("category", "allow_refuse").agg(
-        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)), 4).alias("pass_rate"), F.round(F.avg("total_raw"), 3).alias("mean_score"), F.round(F.avg("h"), 4).alias("mean_hallucination")
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)), 6).alias("pass_rate"), F.round(F.avg("total_raw"), 6).alias("mean_score"), F.round(F.avg("h"), 6).alias("mean_hallucination")
     )
     p, m = F.col("pass_rate"), F.col("mean_score")
     return g.withColumn("grade", F.when((p >= 0.85) & (m >= 7.5), "A").when((p >= 0.7) & (m >= 6.5), "B").when((p >= 0.55) & (m >= 5.5), "C").otherwise("D"))
@@ -114,7 +114,7 @@ def report_rollup(spark, d):
 _REL = f"""WITH {CASES}, k AS (SELECT report_id, category, h, question, answer, {S.mixed_tokens('question')} AS qt, {S.mixed_tokens('answer')} AS ant FROM cs WHERE question IS NOT NULL),
 o AS (SELECT *, len(list_intersect(qt, ant)) / greatest(len(qt), 1) AS o FROM k),
 r AS (SELECT report_id, category, CASE WHEN answer = '' OR question = '' THEN 0.0 WHEN {_sql_any('answer', RELEVANCY_REFUSALS)} THEN 0.25 WHEN len(qt) = 0 THEN 0.0 WHEN length({S.strip('answer')}) < 8 AND o < 0.1 THEN 0.0
- WHEN o > 0 THEN round(least(1.0, least(1.0, o * 1.2) * CASE WHEN length(answer) > 1000 THEN 0.8 WHEN length(answer) > 500 THEN 0.9 ELSE 1.0 END) :: DOUBLE, 3) ELSE 0.0 END AS relevancy, CASE WHEN answer = '' THEN 0.0 ELSE round(1 - h, 3) END AS faithfulness FROM o)"""
+ WHEN o > 0 THEN round(least(1.0, least(1.0, o * 1.2) * CASE WHEN length(answer) > 1000 THEN 0.8 WHEN length(answer) > 500 THEN 0.9 ELSE 1.0 END) :: DOUBLE + 1e-9, 3) ELSE 0.0 END AS relevancy, CASE WHEN answer = '' THEN 0.0 ELSE round(1 - h, 3) END AS faithfulness FROM o)"""
 
 
 def relevancy_rows(spark, d):
@@ -129,7 +129,7 @@ def relevancy_rows(spark, d):
         .when(_any(answer, RELEVANCY_REFUSALS), 0.25)
         .when(F.size(q) == 0, 0.0)
         .when((F.length(T.strip("answer")) < 8) & (F.col("o") < 0.1), 0.0)
-        .when(F.col("o") > 0, F.round(F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("o") * 1.2) * penalty), 3))
+        .when(F.col("o") > 0, F.round(F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("o") * 1.2) * penalty) + 1e-9, 3))
         .otherwise(0.0)
     )
     return rows.select("report_id", "category", score.alias("relevancy"), F.when(answer == "", 0.0).otherwise(F.round(1 - F.col("hallucination_score"), 3)).alias("faithfulness"))
@@ -140,9 +140,9 @@ def answer_relevancy(spark, d):
     return relevancy_rows(spark, d)
 
 
-@query("a2_batch_means", f"{_REL} SELECT category, round(avg(relevancy), 3) AS relevancy, round(avg(faithfulness), 3) AS faithfulness, count(*) AS n FROM r GROUP BY category")
+@query("a2_batch_means", f"{_REL} SELECT category, round(avg(relevancy), 6) AS relevancy, round(avg(faithfulness), 6) AS faithfulness, count(*) AS n FROM r GROUP BY category")
 def batch_means(spark, d):
-    return relevancy_rows(spark, d).groupBy("category").agg(F.round(F.avg("relevancy"), 3).alias("relevancy"), F.round(F.avg("faithfulness"), 3).alias("faithfulness"), F.count(F.lit(1)).alias("n"))
+    return relevancy_rows(spark, d).groupBy("category").agg(F.round(F.avg("relevancy"), 6).alias("relevancy"), F.round(F.avg("faithfulness"), 6).alias("faithfulness"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a3_refusal_confusion", f"{_SCORE_SQL} SELECT coalesce(allow_refuse, false) AS may_refuse, refuse AS refused, passed, count(*) AS n FROM t GROUP BY ALL")
@@ -212,9 +212,9 @@ def weighted_overall(spark, d):
     return rows.groupBy("result_id").agg(F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6).alias("overall"), F.count(F.lit(1)).alias("n_scores"))
 
 
-@query("a21_dimension_means", f"WITH {RESULTS}, {_LONG} SELECT model, dim, round(avg(v), 4) AS mean, count(v) AS n FROM lg GROUP BY CUBE (model, dim)")
+@query("a21_dimension_means", f"WITH {RESULTS}, {_LONG} SELECT model, dim, round(avg(v), 6) AS mean, count(v) AS n FROM lg GROUP BY CUBE (model, dim)")
 def dimension_means(spark, d):
-    return long_scores(spark, d).cube("model", "dim").agg(F.round(F.avg("v"), 4).alias("mean"), F.count("v").alias("n"))
+    return long_scores(spark, d).cube("model", "dim").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"))
 
 
 @query(
@@ -227,10 +227,10 @@ def grade_bands(spark, d):
     return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a34_model_means_padded", f"WITH {RESULTS} SELECT model, round(avg(CASE WHEN success THEN coalesce(scores.total, 0) ELSE 0 END), 4) AS padded_mean, round(avg(scores.total), 4) AS plain_mean, count(*) AS n FROM er GROUP BY model")
+@query("a34_model_means_padded", f"WITH {RESULTS} SELECT model, round(avg(CASE WHEN success THEN coalesce(scores.total, 0) ELSE 0 END), 6) AS padded_mean, round(avg(scores.total), 6) AS plain_mean, count(*) AS n FROM er GROUP BY model")
 def model_means(spark, d):
     total = F.col("scores.total")
-    return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model").agg(F.round(F.avg(F.when(F.col("success"), F.coalesce(total, F.lit(0.0))).otherwise(0.0)), 4).alias("padded_mean"), F.round(F.avg(total), 4).alias("plain_mean"), F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model").agg(F.round(F.avg(F.when(F.col("success"), F.coalesce(total, F.lit(0.0))).otherwise(0.0)), 6).alias("padded_mean"), F.round(F.avg(total), 6).alias("plain_mean"), F.count(F.lit(1)).alias("n"))
 
 
 _TECH = ("RAG", "LLM", "向量", "检索", "生成", "模型", "数据库", "API", "Agent", "框架")
