@@ -15,6 +15,7 @@ DOUBT = ("可能", "也许", "大概", "不确定")
 SHAPED = ("\n", "。", "：", "【")
 WEIGHTS = {"accuracy": 0.28, "completeness": 0.16, "relevance": 0.12, "citation_quality": 0.10, "time_score": 0.10, "anti_hallucination": 0.12, "format_score": 0.06, "fluency": 0.06}
 
+# Means are lifted by a billionth before rounding: on exact ties decimal and binary rounding part.
 CASES = """rp AS (SELECT report_id, any_value(id) AS id, any_value(question) AS question, any_value(answer_preview) AS a, any_value(latency_ms) AS latency_ms, any_value(no_knowledge) AS no_knowledge,
  any_value(used_mock_web) AS used_mock_web, any_value(hallucination_score) AS h, any_value(error) AS error, any_value(ok) AS ok, any_value(generated_at) AS generated_at FROM e2e_report GROUP BY report_id),
 cs AS (SELECT rp.*, coalesce(a, '') AS answer, s.expected_keywords AS kws, s.allow_refuse, s.category FROM rp JOIN e2e_set s USING (id))"""
@@ -101,11 +102,11 @@ _GRADE = "CASE WHEN {p} >= 0.85 AND {m} >= 7.5 THEN 'A' WHEN {p} >= 0.7 AND {m}
 @query(
     "a9_report_rollup",
     f"""{_SCORE_SQL}, g AS (SELECT category, allow_refuse, grouping(category, allow_refuse) AS level, count(*) AS n, avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) AS p, avg(total_raw) AS m, avg(h) AS h FROM t GROUP BY ROLLUP (category, allow_refuse))
-SELECT category, allow_refuse, level :: BIGINT AS level, n, round(p, 6) AS pass_rate, round(m, 6) AS mean_score, round(h, 6) AS mean_hallucination, {_GRADE.format(p='round(p, 6)', m='round(m, 6)')} AS grade FROM g""",
+SELECT category, allow_refuse, level :: BIGINT AS level, n, round(p + 1e-9, 6) AS pass_rate, round(m + 1e-9, 6) AS mean_score, round(h + 1e-9, 6) AS mean_hallucination, {_GRADE.format(p='round(p + 1e-9, 6)', m='round(m + 1e-9, 6)')} AS grade FROM g""",
 )
 def report_rollup(spark, d):
     g = case_scores(spark, d).rollup("category", "allow_refuse").agg(
-        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)), 6).alias("pass_rate"), F.round(F.avg("total_raw"), 6).alias("mean_score"), F.round(F.avg("h"), 6).alias("mean_hallucination")
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)) + 1e-9, 6).alias("pass_rate"), F.round(F.avg("total_raw") + 1e-9, 6).alias("mean_score"), F.round(F.avg("h") + 1e-9, 6).alias("mean_hallucination")
     )
     p, m = F.col("pass_rate"), F.col("mean_score")
     return g.withColumn("grade", F.when((p >= 0.85) & (m >= 7.5), "A").when((p >= 0.7) & (m >= 6.5), "B").when((p >= 0.55) & (m >= 5.5), "C").otherwise("D"))
@@ -140,9 +141,9 @@ def answer_relevancy(spark, d):
     return relevancy_rows(spark, d)
 
 
-@query("a2_batch_means", f"{_REL} SELECT category, round(avg(relevancy), 6) AS relevancy, round(avg(faithfulness), 6) AS faithfulness, count(*) AS n FROM r GROUP BY category")
+@query("a2_batch_means", f"{_REL} SELECT category, round(avg(relevancy) + 1e-9, 6) AS relevancy, round(avg(faithfulness) + 1e-9, 6) AS faithfulness, count(*) AS n FROM r GROUP BY category")
 def batch_means(spark, d):
-    return relevancy_rows(spark, d).groupBy("category").agg(F.round(F.avg("relevancy"), 6).alias("relevancy"), F.round(F.avg("faithfulness"), 6).alias("faithfulness"), F.count(F.lit(1)).alias("n"))
+    return relevancy_rows(spark, d).groupBy("category").agg(F.round(F.avg("relevancy") + 1e-9, 6).alias("relevancy"), F.round(F.avg("faithfulness") + 1e-9, 6).alias("faithfulness"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a3_refusal_confusion", f"{_SCORE_SQL} SELECT coalesce(allow_refuse, false) AS may_refuse, refuse AS refused, passed, count(*) AS n FROM t GROUP BY ALL")
@@ -212,9 +213,9 @@ def weighted_overall(spark, d):
     return rows.groupBy("result_id").agg(F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6).alias("overall"), F.count(F.lit(1)).alias("n_scores"))
 
 
-@query("a21_dimension_means", f"WITH {RESULTS}, {_LONG} SELECT model, dim, round(avg(v), 6) AS mean, count(v) AS n FROM lg GROUP BY CUBE (model, dim)")
+@query("a21_dimension_means", f"WITH {RESULTS}, {_LONG} SELECT model, dim, round(avg(v) + 1e-9, 6) AS mean, count(v) AS n FROM lg GROUP BY CUBE (model, dim)")
 def dimension_means(spark, d):
-    return long_scores(spark, d).cube("model", "dim").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"))
+    return long_scores(spark, d).cube("model", "dim").agg(F.round(F.avg("v") + 1e-9, 6).alias("mean"), F.count("v").alias("n"))
 
 
 @query(
@@ -227,10 +228,10 @@ def grade_bands(spark, d):
     return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a34_model_means_padded", f"WITH {RESULTS} SELECT model, round(avg(CASE WHEN success THEN coalesce(scores.total, 0) ELSE 0 END), 6) AS padded_mean, round(avg(scores.total), 6) AS plain_mean, count(*) AS n FROM er GROUP BY model")
+@query("a34_model_means_padded", f"WITH {RESULTS} SELECT model, round(avg(CASE WHEN success THEN coalesce(scores.total, 0) ELSE 0 END) + 1e-9, 6) AS padded_mean, round(avg(scores.total) + 1e-9, 6) AS plain_mean, count(*) AS n FROM er GROUP BY model")
 def model_means(spark, d):
     total = F.col("scores.total")
-    return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model").agg(F.round(F.avg(F.when(F.col("success"), F.coalesce(total, F.lit(0.0))).otherwise(0.0)), 6).alias("padded_mean"), F.round(F.avg(total), 6).alias("plain_mean"), F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model").agg(F.round(F.avg(F.when(F.col("success"), F.coalesce(total, F.lit(0.0))).otherwise(0.0)) + 1e-9, 6).alias("padded_mean"), F.round(F.avg(total) + 1e-9, 6).alias("plain_mean"), F.count(F.lit(1)).alias("n"))
 
 
 _TECH = ("RAG", "LLM", "向量", "检索", "生成", "模型", "数据库", "API", "Agent", "框架")
