@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import bag_tokens, stable_slot
+from gleanery.runtime import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -25,11 +26,7 @@ def rank_within(df: DataFrame, group: str, order: list[Column], k: int | None, n
 
 def postings(documents: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, term, tf``."""
-    return documents.select("doc_id", F.explode(bag_tokens(text)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def document_lengths(documents: DataFrame, text: str = "text") -> DataFrame:
-    return documents.select("doc_id", F.size(bag_tokens(text)).cast("long").alias("dl"))
+    return spread(documents.select("doc_id", text)).select("doc_id", F.explode(bag_tokens(text)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def inverse_frequencies(terms: DataFrame, n_documents: DataFrame) -> DataFrame:
@@ -43,9 +40,11 @@ def inverse_frequencies(terms: DataFrame, n_documents: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, documents: DataFrame, k: int | None = 20) -> DataFrame:
     """``qid, doc_id, score, rank`` for ``queries(qid, query)`` over ``documents(doc_id, text)``."""
     documents = documents.filter("text is not null")
-    lengths = document_lengths(documents)
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    # Texts are tokenised once: lengths and frequencies are sums over the postings, whose exchange Spark reuses.
     all_terms = postings(documents)
+    lengths = all_terms.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    total = all_terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    size = documents.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
     asked = queries.select("qid", F.explode(bag_tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weights = asked.join(inverse_frequencies(all_terms, size.select("n")), "term")
     hits = weights.join(all_terms, "term").join(lengths, "doc_id").crossJoin(F.broadcast(size.select("avgdl")))  # one row
@@ -76,7 +75,7 @@ def min_max(ranked: DataFrame, score: str = "score") -> DataFrame:
 
 def sparse_vectors(documents: DataFrame, text: str = "text", key: str = "doc_id", slots: int = 10_000) -> DataFrame:
     """Long sparse vectors ``key, idx, val``: hashed term counts, collisions added."""
-    return documents.select(key, F.explode(bag_tokens(text)).alias("term")).groupBy(key, stable_slot(F.col("term"), slots).alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("val"))
+    return spread(documents.select(key, text)).select(key, F.explode(bag_tokens(text)).alias("term")).groupBy(key, stable_slot(F.col("term"), slots).alias("idx")).agg(F.count(F.lit(1)).cast("double").alias("val"))
 
 
 def sparse_top(queries: DataFrame, documents: DataFrame, k: int | None = 10) -> DataFrame:

@@ -58,3 +58,13 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what}: more than {limit} rows, which this plan may not bring to the driver")
     return rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly work on texts.
+
+    A few small files give fewer partitions than there are cores; only then are the rows dealt out
+    evenly. Inputs with partitions enough, as any large one has, are left as they are, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
