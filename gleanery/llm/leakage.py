@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.runtime import bounded_rows
+from gleanery.runtime import bounded_rows, spread
 
 RUN, WIDTH = 40, 8
 #: Query passages: any run of RUN characters lies whole in one of them.
@@ -209,7 +209,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, item_block: in
         rows = bounded_rows(chosen, 2 * item_block + 1000, "items of one index block")
         pairs = [(r["id"], t) for r in rows if len(t := normal(r["passage"])) >= run]
         index = spark.sparkContext.broadcast(ItemIndex(sorted(pairs), run))
-        found = documents.select("doc_id", "text").mapInArrow(_scan(index, run), "doc_id long, item_id int")
+        found = spread(documents.select("doc_id", "text")).mapInArrow(_scan(index, run), "doc_id long, item_id int")
         result = found if result is None else result.unionByName(found)
     return result.distinct()
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.runtime import cut_lineage
+from gleanery.runtime import cut_lineage, spread
 
 #: A byte-level BPE for many languages; a parameter of every call, never part of this repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -71,7 +71,7 @@ def _measure(path: str):
 
 def measured(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, tokens, weight``; texts are tokenised once and only these columns go on."""
-    sized = documents.select("doc_id", "source", "text").mapInArrow(_measure(tokenizer), "doc_id long, source string, tokens long, weight double")
+    sized = spread(documents.select("doc_id", "source", "text")).mapInArrow(_measure(tokenizer), "doc_id long, source string, tokens long, weight double")
     return cut_lineage(sized.dropDuplicates(["doc_id"]).filter("tokens > 0"))
 
 

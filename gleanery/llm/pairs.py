@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.crf import LinearChain
+from gleanery.runtime import spread
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished", "courtesy", "error")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, COURTESY, ERROR = range(len(LABELS))
@@ -363,7 +364,7 @@ def _add_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ending_tables(responses: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How often each word ends a clause and how often it occurs, over all responses; two tables of fixed size (2 MB)."""
-    rows = responses.select("response").mapInArrow(_count_ends, _ENDS).repartition(4, "block").mapInArrow(_add_ends, _ENDS).collect()
+    rows = spread(responses.select("response")).mapInArrow(_count_ends, _ENDS).repartition(4, "block").mapInArrow(_add_ends, _ENDS).collect()
     tables = np.zeros((2, 16, SLOTS // 16), np.int64)
     for row in rows:
         for i, column in enumerate(("final_counts", "all_counts")):
@@ -441,5 +442,5 @@ def broken_pairs(evaluations: DataFrame, reports: DataFrame) -> DataFrame:
     previews = reports.select(F.lit("e2e_report").alias("table_name"), F.col("report_id").alias("pair_id"), "question", F.col("answer_preview").alias("response"), "error", F.lit(False).alias("whole"))
     field = clause_field()
     tables = evaluations.sparkSession.sparkContext.broadcast(ending_tables(whole))
-    tagged = whole.unionByName(previews).mapInArrow(_tag_pairs(field, tables), _FOUND)
+    tagged = spread(whole).unionByName(spread(previews)).mapInArrow(_tag_pairs(field, tables), _FOUND)
     return tagged.dropDuplicates(["table_name", "pair_id"])
