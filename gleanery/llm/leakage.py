@@ -10,7 +10,7 @@ is checked exactly for a shared run; overlap with the item's question and answer
 Test items are read in blocks of bounded size, each a broadcast index against all documents; documents
 are only scanned, never shuffled.
 
-Defined results for odd input: items with a null passage or one under ``RUN`` letters and digits leak
+Defined results for odd input: items without an id, with a null passage or one under ``RUN`` letters and digits leak
 nothing; null, empty and short texts contain nothing; very long texts are queried whole, passage by
 passage; equal documents each come out under their own id, equal rows once; equal passages leak
 together; an empty table on either side gives no rows.
@@ -201,7 +201,7 @@ def _item_blocks(items: DataFrame, block: int) -> int:
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, item_block: int = ITEM_BLOCK) -> DataFrame:
     """``doc_id, item_id`` of every document that contains a run of a test passage."""
     spark = documents.sparkSession
-    usable = items.filter("passage is not null").select("id", "passage").distinct()
+    usable = items.filter("passage is not null and id is not null").select("id", "passage").distinct()
     parts = _item_blocks(usable, item_block)
     result = None
     for part in range(parts):

@@ -9,7 +9,7 @@ The prefix sum of a source never runs in one task: keys are cut into buckets, bu
 table) are accumulated, and documents are ordered within their bucket only. The order is shared by all
 plans, so a larger budget contains the smaller one.
 
-Defined results for odd input: null or empty texts have no tokens and are never drawn; a null source
+Defined results for odd input: null or empty texts have no tokens and are never drawn, nor documents without an id; a null source
 belongs to no plan; null, negative or NaN weights and budgets count as 0; a null repeat cap is no cap, a
 negative one 0; a source named twice in a plan has its weights added and the smaller cap; a source without
 documents reaches 0; ties of keys go by id; a document sent twice counts once.
@@ -72,7 +72,7 @@ def _measure(path: str):
 def measured(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, tokens, weight``; texts are tokenised once and only these columns go on."""
     sized = spread(documents.select("doc_id", "source", "text")).mapInArrow(_measure(tokenizer), "doc_id long, source string, tokens long, weight double")
-    return cut_lineage(sized.dropDuplicates(["doc_id"]).filter("tokens > 0"))
+    return cut_lineage(sized.filter("tokens > 0 and doc_id is not null").dropDuplicates(["doc_id"]))
 
 
 def prefix_sums(sized: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -10,7 +10,8 @@ all sequences of a batch are decoded together.
 
 Defined results for odd input: a null or blank response, or one that holds only marks, markup, empty
 tags, invisible characters or a word for "no value", is ``empty``; a null question can't be copied or
-contradicted in language; very long responses are read whole; equal records come out once; a
+contradicted in language; very long responses are read whole; equal records come out once, and of records without an id one
+per table; a
 pair has at most one defect, the first of empty, error_text, copy, refusal, other_language, truncated.
 """
 

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import leakage, mixing, neardup, pairs, residue, sketch, splitting, textstats
-from gleanery.runtime import table
+from gleanery.runtime import once, table
 
 
 def _latencies(spark: SparkSession, d: str) -> DataFrame:
     """``metric, grp, day, value``: both latency columns, each record once however often it was sent."""
     # e2e_set has a fixed size; Spark broadcasts it below its own threshold and shuffles it otherwise.
     categories = table(spark, d, "e2e_set").groupBy("id").agg(F.min("category").alias("category"))
-    reports = table(spark, d, "e2e_report").select("report_id", "id", "generated_at", "latency_ms").dropDuplicates(["report_id"])
+    reports = table(spark, d, "e2e_report").select("report_id", "id", "generated_at", "latency_ms")
+    reports = once(reports, "report_id")
     e2e = reports.join(categories, "id", "left").select(F.lit("e2e_latency_ms").alias("metric"), "category", F.to_date("generated_at").alias("day"), F.col("latency_ms").cast("double").alias("value"))
-    bench = table(spark, d, "benchmark_results").select("bench_id", "model", "finished_at", "latency").dropDuplicates(["bench_id"])
+    bench = once(table(spark, d, "benchmark_results").select("bench_id", "model", "finished_at", "latency"), "bench_id")
     bench = bench.select(F.lit("bench_latency_s").alias("metric"), F.col("model").alias("category"), F.to_date("finished_at").alias("day"), F.col("latency").alias("value"))
     return e2e.unionByName(bench).withColumnRenamed("category", "grp")
 

@@ -8,7 +8,7 @@ at a boundary if there is one. If a piece breaks the limit, one more piece is pl
 Defined results for odd input: null content gives no pieces; empty or short content (at most
 ``limit``) is one piece, blank or not; text without any boundary is cut at the targets, but never inside
 a surrogate pair, before a combining mark or at a joiner. Lengths are code points. A document sent twice is
-split once. Pieces cover the text without gaps: dropping each piece's overlap and joining gives it back.
+split once; documents without an id are all kept. Pieces cover the text without gaps: dropping each piece's overlap and joining gives it back.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.runtime import once
+
 LIMIT, OVERLAP = 800, 100
 
 #: Boundary strengths, strongest first; the position is where the next piece may begin.
@@ -152,10 +154,10 @@ def split_documents(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     A narrow map: no shuffle but the one that drops records sent twice. Documents within the limit
     pass through unchanged as one piece.
     """
-    once = chunks.select("doc_id", "source", "page", "content").dropDuplicates(["doc_id"])
+    single = once(chunks.select("doc_id", "source", "page", "content"), "doc_id")
     schema = "doc_id string, source string, page int, piece_no int, start_pos long, end_pos long, piece string"
-    short = once.filter(F.length("content") <= limit).select("doc_id", "source", "page", F.lit(1).alias("piece_no"), F.lit(0).cast("long").alias("start_pos"), F.length("content").cast("long").alias("end_pos"), F.col("content").alias("piece"))
-    long = once.filter(F.length("content") > limit).mapInArrow(_split(limit, overlap), schema)
+    short = single.filter(F.length("content") <= limit).select("doc_id", "source", "page", F.lit(1).alias("piece_no"), F.lit(0).cast("long").alias("start_pos"), F.length("content").cast("long").alias("end_pos"), F.col("content").alias("piece"))
+    long = single.filter(F.length("content") > limit).mapInArrow(_split(limit, overlap), schema)
     return short.unionByName(long)
 
 

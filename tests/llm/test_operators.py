@@ -149,7 +149,10 @@ def brute_pairs(rows):
     return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("group_rows", [None, 7])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, group_rows):
+    if group_rows:
+        monkeypatch.setattr(neardup, "GROUP_ROWS", group_rows)
     rng = random.Random(5)
     rows, base = [], [" ".join(sentence(rng) for _ in range(rng.randint(2, 14))) for _ in range(60)]
     shared = "Notice: these entries were kept by volunteers and are meant for study only. "
