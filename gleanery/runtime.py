@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the operators were planned with; a caller's own session wins.
 DEFAULTS = {
@@ -68,3 +69,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row per key for records that were sent twice; rows without a key can't be told apart and all stay."""
+    alone = "__row_without_key"
+    marked = df.withColumn(alone, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    return marked.dropDuplicates([key, alone]).drop(alone)
