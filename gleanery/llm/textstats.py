@@ -333,12 +333,25 @@ def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
 
 
 def language_norms(sketches: DataFrame) -> DataFrame:
-    """Median and spread (interquartile range / 1.349) of each statistic per language."""
+    """Median and spread (interquartile range / 1.349) of each statistic per language, blended with the whole corpus.
+
+    A language counts by its share of the texts, not their number, so a corpus of any size gives like norms;
+    the spread of a corpus of few texts is widened, as its quartiles say little.
+    """
+    whole = sketches.agg(*[F.kll_merge_agg_double(s).alias(f"{s}_all") for s in SCORED])
     columns = []
     for s in SCORED:
-        q = lambda p, s=s: F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, F.lit(p)))
-        columns += [q(0.5).alias(f"{s}_mid"), F.greatest((q(0.75) - q(0.25)) / 1.349, F.lit(SPREAD.get(s, 0.01))).alias(f"{s}_spread")]
-    return sketches.select("lang", "n_docs", *columns)
+        n, total = (F.coalesce(F.kll_sketch_get_n_double(c), F.lit(0)) for c in (s, f"{s}_all"))
+        weight = F.try_divide(n, n + BLEND * total)
+
+        def blended(value, s=s, n=n, total=total, weight=weight):
+            return F.when(n > 0, weight * value(s) + (1 - weight) * value(f"{s}_all")).when(total > 0, value(f"{s}_all"))
+
+        q = lambda c, p: F.kll_sketch_get_quantile_double(c, F.lit(p))
+        spread_of = blended(lambda c: (q(c, 0.75) - q(c, 0.25)) / 1.349)
+        columns += [blended(lambda c: q(c, 0.5)).alias(f"{s}_mid"), (F.greatest(spread_of, F.lit(SPREAD.get(s, 0.01))) * F.sqrt(1 + F.try_divide(F.lit(float(FEW)), total))).alias(f"{s}_spread")]
+    # One row of sketches of fixed size beside at most six of languages.
+    return sketches.crossJoin(F.broadcast(whole)).select("lang", "n_docs", *columns)
 
 
 def scored(stats: DataFrame) -> DataFrame:
@@ -354,28 +367,30 @@ def scored(stats: DataFrame) -> DataFrame:
 def non_prose(stats: DataFrame) -> DataFrame:
     """``doc_id, kind`` of the texts that are mostly junk, table or list.
 
-    A text must lie in a tail of its language; the tail names the kind. What is mostly a list or
-    table must also be one for half of its characters.
+    What is broken, repeated, a list or a table for most of its characters is so whatever other texts are
+    like; where the evidence in the text is weaker, it must also lie in a tail of its language.
     """
     z = lambda s: F.coalesce(F.col(f"{s}_z"), F.lit(0.0))
     c = F.col
     structured = (c("table_share") >= 0.3) | (c("list_share") >= 0.5)
-    # In a language with few texts, or of texts without any language, the middle is no measure: the absolute bounds decide.
-    unsure = (c("lang") == "other") | (c("n_docs") < FEW)
+    # Of texts without any language the middle is no measure: the absolute bounds decide.
+    unsure = c("lang") == "other"
     tail = lambda s, bound: (z(s) >= bound) | unsure
-    broken = (tail("odd_share", 3) & (c("odd_share") >= 0.05)) | (tail("repeat_share", 3) & (c("repeat_share") >= 0.6)) | ((c("hex_share") >= 0.5) & tail("digit_share", 1))
+    broken = (c("odd_share") >= 0.05) | (c("repeat_share") >= 0.6) | ((c("hex_share") >= 0.5) & (tail("digit_share", 1) | (c("digit_share") >= 0.3)))
     shuffled = (F.abs(z("pair_gain")) >= PAIR_TAIL) & ~unsure
-    noisy = (c("symbol_share") >= 0.45) | ((c("mixed_words") >= 0.4) & (c("symbol_share") >= 0.15) & tail("symbol_share", 3))
+    noisy = (c("symbol_share") >= 0.45) | ((c("mixed_words") >= 0.4) & (c("symbol_share") >= 0.15) & (tail("symbol_share", 3) | (c("symbol_share") >= 0.3)))
     strange = ((c("vowel_gap") >= 0.2) & (c("common_share") < 0.2)) | ((c("mean_word") > 15) & tail("mean_word", 6))
     junk = broken | shuffled | (~structured & (noisy | strange))
-    table = (c("table_share") >= 0.5) & tail("table_share", 3)
-    listed = (c("list_share") >= 0.5) & tail("list_share", 3)
+    table = c("table_share") >= 0.5
+    listed = c("list_share") >= 0.5
     both = c("table_share") + c("list_share") >= 0.6
     kind = F.when(junk, "junk").when(table, "table").when(listed, "list").when(both, F.when(c("table_share") > c("list_share"), "table").otherwise("list"))
     return scored(stats).filter(c("n_chars") >= LEAST).select("doc_id", kind.alias("kind")).filter("kind is not null").distinct()
 
 
-#: Texts a language must have for its own middle and spread to count.
+#: Share of the corpus a language has when its own norm counts as much as the corpus's.
+BLEND = 0.05
+#: Texts in a corpus by which its spreads widen by the root of two.
 FEW = 50
 #: Spreads by which Han pairs must be rarer or more peculiar than the language's median.
 PAIR_TAIL = 8.0
