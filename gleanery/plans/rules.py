@@ -161,6 +161,29 @@ def sanitised(spark, d):
     return questions(spark, d).select("q", F.substring(F.translate(s, "\u0000", ""), 1, 15).alias("kept"), (F.length(s) > 15).alias("was_cut"), F.col("q").rlike("(?i)ignore (?:all |the )?previous|忽略(?:上述|之前)|system prompt").alias("suspicious"), (s == "").alias("is_blank"))
 
 
+def _injected(space):
+    return rf"(?i)ignore{space}+(?:all{space}+)?previous{space}+instructions|system{space}*:{space}*you{space}+are|<{space}*/?{space}*system{space}*>"
+
+
+#: Characters of a question that are kept.
+QUESTION_CHARS = 4000
+
+
+def guarded(rows, limit=QUESTION_CHARS):
+    """``q, kept, was_cut, suspicious, had_nul, is_blank``: trimmed, cut at ``limit``, searched for injections, freed of NULs."""
+    s = T.strip("q")
+    cut = F.substring(s, 1, limit)
+    return rows.select("q", F.translate(cut, "\u0000", "").alias("kept"), (F.length(s) > limit).alias("was_cut"), cut.rlike(_injected(r"(?U:\s)")).alias("suspicious"), F.contains(cut, F.lit("\u0000")).alias("had_nul"), (s == "").alias("is_blank"))
+
+
+@query(
+    "f10_question_guard",
+    f"WITH {QUESTIONS}, c AS (SELECT q, {S.strip('q')} AS s, substr({S.strip('q')}, 1, {QUESTION_CHARS}) AS cut FROM qs) SELECT q, replace(cut, chr(0), '') AS kept, length(s) > {QUESTION_CHARS} AS was_cut, regexp_matches(cut, '{_injected(S.SPACE)}') AS suspicious, contains(cut, chr(0)) AS had_nul, s = '' AS is_blank FROM c",
+)
+def question_guard(spark, d):
+    return guarded(questions(spark, d))
+
+
 @query(
     "f8_exact_ids",
     r"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '(?:ID|id|编号|版本|文档)[\s:：]*([A-Za-z0-9\-_]{2,})', 1), regexp_extract_all(text, '\b([A-Z]{2,}[\-_]\d{2,})\b', 1)))) AS found FROM documents)
