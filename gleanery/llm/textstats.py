@@ -158,21 +158,70 @@ def _inline_list(text: str) -> float:
     return share / max(len(text), 1)
 
 
+#: Characters of the runs by whose next occurrence periods are found, and the least stretch that counts as repeated.
+RUN, STRETCH = 8, 24
+
+
+def _periods(codes: np.ndarray) -> list[int]:
+    """Distances at which runs of the text come again, if a twentieth of them or more do; at most twenty."""
+    n = len(codes) - RUN + 1
+    keys = np.zeros(n, np.uint64)
+    for i in range(RUN):
+        keys = keys * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n].astype(np.uint64) + np.uint64(1)
+    order = np.argsort(keys, kind="stable")
+    again = keys[order][1:] == keys[order][:-1]
+    gaps = (order[1:] - order[:-1])[again]
+    if len(gaps) < 0.05 * n:
+        return []
+    size, times = np.unique(gaps, return_counts=True)
+    return size[(times >= 0.05 * n) & (3 * size <= len(codes))].tolist()
+
+
+def _repeated(codes: np.ndarray, solid: np.ndarray, period: int) -> float:
+    """Share of the text that goes on as it did one period before, in phrases that come three times running.
+
+    A text that is one phrase from some place on may differ in a tenth; else phrases must be equal, and
+    letters and digits alone count, so that leaders and rules are no phrase.
+    """
+    same = codes[period:] == codes[:-period]
+    total = np.r_[0, np.cumsum(same)]
+    twice = np.flatnonzero(total[period:] - total[:-period] == period)
+    whole = 0.0
+    if len(twice) and len(codes) - twice[0] >= 3 * period:
+        first = int(twice[0])
+        hits = int(total[-1] - total[first])
+        if hits >= 0.9 * (len(same) - first) and (first == 0 or solid[first : first + period].any()):
+            whole = hits / len(same)
+    width = max(2 * period, STRETCH)
+    if len(same) < width:
+        return whole
+    starts = np.flatnonzero(total[width:] - total[:-width] == width)
+    edge = np.zeros(len(same) + 1, np.int64)
+    edge[starts] += 1
+    edge[starts + width] -= 1
+    covered = (np.cumsum(edge[:-1]) > 0) & solid[period:]
+    return max(whole, int(covered.sum()) / max(int(solid[period:].sum()), 1) if solid.sum() >= 0.5 * len(codes) else 0.0)
+
+
 def _repeats(text: str) -> float:
-    """Share of the text that repeats one phrase: what compression cannot explain otherwise."""
+    """Share of the text that repeats one phrase of any length, wherever the repetition starts."""
     body = re.sub(r"\s+", "", text)
     if len(body) < 40:
         return 0.0
-    for unit in (*range(1, 41), *range(45, 121, 5)):
-        if len(body) >= 3 * unit and body[: 2 * unit][:unit] == body[unit : 2 * unit]:
-            same = sum(a == b for a, b in zip(body[unit:], body[:-unit], strict=True))
-            if same >= 0.9 * (len(body) - unit):
-                return same / (len(body) - unit)
-    units = [u.strip() for u in re.split(r"[，。！？,.!?;；\n]+", text) if u.strip()]
-    if len(units) >= 6:
-        top, times = Counter(units).most_common(1)[0]
-        return times * len(top) / max(sum(map(len, units)), 1) if times >= 5 else 0.0
-    return 0.0
+    codes = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32)
+    periods = _periods(codes)
+    best = 0.0
+    if periods:
+        solid = np.fromiter(map(str.isalnum, body), bool, len(body))
+        best = max(_repeated(codes, solid, p) for p in periods)
+    # The same phrase between other words: parts between any marks, and whole sentences with the marks inside.
+    for ends in (r"[，。！？,.!?;；\n]+", r"[。！？.!?\n]+"):
+        units = [u.strip() for u in re.split(ends, text) if u.strip()]
+        if len(units) >= 6:
+            top, times = Counter(units).most_common(1)[0]
+            if times >= 5:
+                best = max(best, times * len(top) / max(sum(map(len, units)), 1))
+    return best
 
 
 STATS = ("n_chars", "n_words", "mean_word", "symbol_share", "closed_lines", "common_share", "list_share", "table_share", "odd_share", "repeat_share", "digit_share", "vowel_gap", "mixed_words", "type_ratio", "hex_share", "pair_gain")

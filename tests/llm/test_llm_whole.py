@@ -31,3 +31,17 @@ def test_shuffled_text_is_found_in_a_small_corpus(spark):
     scrambled = list("".join(line() for _ in range(4)))
     rng.shuffle(scrambled)
     assert found(spark, [*rows, (99, "".join(scrambled), "zh")]) == {99: "junk"}
+
+
+def test_repeated_phrases_of_any_length_and_place():
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for period in (17, 43, 47, 121, 250, 777):
+        phrase = "".join(rng.choice(letters) for _ in range(period))
+        for heading in ("", "A heading\n"):
+            assert textstats._repeats(heading + phrase * 6) >= 0.85
+    halves = "the first half of it, the second half of it"
+    assert textstats._repeats("Heading\n" + "".join(f"{rng.choice(letters) * 3}. {halves}. " for _ in range(9))) >= 0.6
+    leaders = "\n".join(f"{w.title()} of the matter {'.' * 60} {i}" for i, w in enumerate(WORDS))
+    rows = "\n".join(f"| A{i:02} | available | 10 EUR | north |" for i in range(20))
+    assert max(map(textstats._repeats, (leaders, rows, prose(rng, 30)))) < 0.6
