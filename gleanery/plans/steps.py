@@ -1,6 +1,7 @@
 """Steps between retrieval and answer: routes, expansion, promotion, extraction, context."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.functions import sqltext as S
 from gleanery.functions import text as T
@@ -73,6 +74,50 @@ def extracted_answer(spark, d):
     return lexical.rank_within(best, "qid", [F.col("rank"), F.col("turn")], 5, "place").select("qid", "place", "doc_id", "overlap", F.md5("s").alias("sentence_md5"))
 
 
+_ENDS = "。\\n！？.!?\\r"
+#: Characters of context for one question.
+CONTEXT_CHARS = 400
+
+
+def budgeted(hits, budget=CONTEXT_CHARS):
+    """Context of each question out of all its ``hits`` (``qid, doc_id, rank, query, text``), up to ``budget`` characters.
+
+    Sentences by share of the question's tokens, then document and place, each opening of 20 characters once, until
+    the first that would pass the budget; a question without any gets its documents from the start instead.
+    """
+    asked = hits.select("qid", "doc_id", "rank", T.mixed_tokens("query").alias("qt"), F.posexplode(T.sentences("text", _ENDS, 4)).alias("pos", "s")).withColumn("st", T.mixed_tokens("s"))
+    scored = asked.filter("size(qt) > 0 and size(st) > 0").select("qid", "doc_id", "rank", "pos", "s", T.coverage(F.col("qt"), F.col("st")).alias("overlap"))
+    order = [F.desc("overlap"), F.col("rank"), F.col("pos")]
+    first = scored.withColumn("turn", F.row_number().over(Window.partitionBy("qid", F.substring("s", 1, 20)).orderBy(*order))).filter("turn = 1")
+    entry = F.concat(F.lit("[文档"), F.col("rank").cast("string"), F.lit("] "), "s", F.lit("。"))
+    # A group is the sentences of one question's few documents.
+    place = Window.partitionBy("qid").orderBy(*order)
+    placed = first.withColumn("part", entry).select("qid", "doc_id", F.row_number().over(place).alias("place"), F.round("overlap", 6).alias("overlap"), F.sum(F.length("part")).over(place.rowsBetween(Window.unboundedPreceding, 0)).alias("used"), "part")
+    chosen = placed.filter(F.col("used") <= budget).withColumn("fallback", F.lit(False))
+    bare = hits.join(chosen.select("qid").distinct(), "qid", "left_anti").select("qid", "doc_id", "rank", F.coalesce("text", F.lit("")).alias("text"))
+    by_rank = Window.partitionBy("qid").orderBy("rank")
+    before = bare.withColumn("before", F.coalesce(F.sum(F.length("text")).over(by_rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < budget)
+    chunk = before.withColumn("chunk", F.substring(F.col("text"), F.lit(1), (F.lit(budget) - F.col("before")).cast("int")))
+    cut = chunk.select("qid", "doc_id", F.row_number().over(by_rank).alias("place"), F.lit(0.0).alias("overlap"), (F.col("before") + F.length("chunk")).alias("used"), F.concat(F.lit("[文档"), F.col("rank").cast("string"), F.lit("] "), "chunk").alias("part"), F.lit(True).alias("fallback"))
+    return chosen.unionByName(cut)
+
+
+@query(
+    "o6_question_context",
+    f"""WITH {BM}, h AS (SELECT bm.qid, bm.doc_id, bm.rank, coalesce(d.text, '') AS text, {S.mixed_tokens('q.query')} AS qt FROM bm JOIN q USING (qid) JOIN documents d ON d.doc_id = bm.doc_id WHERE bm.rank <= 5),
+e AS (SELECT qid, doc_id, rank, qt, unnest(range(len(ss))) AS pos, unnest(ss) AS s FROM (SELECT *, {S.sentences('text', _ENDS, 4)} AS ss FROM h)),
+o AS (SELECT qid, doc_id, rank, pos, s, len(list_intersect(qt, st)) / len(qt) AS overlap FROM (SELECT *, {S.mixed_tokens('s')} AS st FROM e) WHERE len(st) > 0 AND len(qt) > 0),
+f AS (SELECT *, '[文档' || rank || '] ' || s || '。' AS part FROM (SELECT *, row_number() OVER (PARTITION BY qid, substr(s, 1, 20) ORDER BY overlap DESC, rank, pos) AS turn FROM o) WHERE turn = 1),
+k AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER w AS place, round(overlap, 6) AS overlap, sum(length(part)) OVER (w ROWS UNBOUNDED PRECEDING) AS used, part, FALSE AS fallback FROM f WINDOW w AS (PARTITION BY qid ORDER BY overlap DESC, rank, pos)) WHERE used <= {CONTEXT_CHARS}),
+b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h WHERE qid NOT IN (SELECT qid FROM k)),
+c AS (SELECT qid, doc_id, rank, before, substr(text, 1, CAST({CONTEXT_CHARS} - before AS BIGINT)) AS chunk FROM b WHERE before < {CONTEXT_CHARS}),
+u AS (SELECT * FROM k UNION ALL SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rank), 0.0, before + length(chunk), '[文档' || rank || '] ' || chunk, TRUE FROM c)
+SELECT qid, doc_id, place :: INTEGER AS place, overlap :: DOUBLE AS overlap, used :: BIGINT AS used, md5(part) AS part_md5, fallback FROM u""",
+)
+def question_context(spark, d):
+    return budgeted(_hits(spark, d)).select("qid", "doc_id", "place", "overlap", "used", F.md5("part").alias("part_md5"), "fallback")
+
+
 @query("o10_last_turns", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS t FROM events) WHERE t <= 3")
 def last_turns(spark, d):
     """The last three turns of every conversation."""

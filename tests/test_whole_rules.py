@@ -1,6 +1,6 @@
 """Question rules on small fixtures with the cuts of the blueprint."""
 
-from gleanery.plans import rules
+from gleanery.plans import rules, steps
 
 
 def test_question_guard(spark):
@@ -12,3 +12,18 @@ def test_question_guard(spark):
     assert rows[6]["kept"] == "ab" and rows[6]["had_nul"] and [r["is_blank"] for r in rows[6:8]] == [False, True]
     short = rules.guarded(spark.createDataFrame([("123456789012345",)], "q string"), 10).first()
     assert short["kept"] == "1234567890" and short["was_cut"]
+
+
+def test_question_context(spark):
+    far = "nothing here of use. " * 30 + "the cache is cleared at night. Nothing else matters"
+    rows = [
+        (1, 10, 1, "cache cleared night", far),
+        (1, 11, 2, "cache cleared night", "the cache is small! the cache is cleared at night?"),
+        (2, 10, 1, "？", "abcdefghij" * 3),
+        (2, 11, 2, "？", "klmnopqrst" * 10),
+        (3, 12, 1, "cache", "cache " * 40 + "."),
+    ]
+    got = sorted(map(tuple, steps.budgeted(spark.createDataFrame(rows, "qid long, doc_id long, rank int, query string, text string"), 100).select("qid", "place", "doc_id", "part", "fallback").collect()))
+    assert got[:3] == [(1, 1, 10, "[文档1] the cache is cleared at night。", False), (1, 2, 11, "[文档2] the cache is small。", False), (1, 3, 10, "[文档1] nothing here of use。", False)]
+    assert got[3:5] == [(2, 1, 10, "[文档1] " + "abcdefghij" * 3, True), (2, 2, 11, "[文档2] " + "klmnopqrst" * 7, True)]
+    assert got[5:] == [(3, 1, 12, "[文档1] " + ("cache " * 40)[:100], True)]
