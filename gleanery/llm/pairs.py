@@ -10,8 +10,8 @@ all sequences of a batch are decoded together.
 
 Defined results for odd input: a null or blank response, or one that holds only marks, markup, empty
 tags, invisible characters or a word for "no value", is ``empty``; a null question can't be copied or
-contradicted in language; very long responses are read whole; equal records come out once, and of records without an id one
-per table; a
+contradicted in language; very long responses are read whole; equal records come out once, and records without an id
+all stay, as they can't be told apart; a
 pair has at most one defect, the first of empty, error_text, copy, refusal, other_language, truncated.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.crf import LinearChain
-from gleanery.runtime import spread
+from gleanery.runtime import once, spread
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished", "courtesy", "error")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, COURTESY, ERROR = range(len(LABELS))
@@ -137,8 +137,6 @@ class Clauses:
         at = self.row.tolist()
         for i, (w, r) in enumerate(zip(words, at, strict=True)):
             q, e = asked[r], failed[r]
-            if len(w) > 2 * len(q) + 40 and len(w) > 2 * len(e) + 40:
-                continue
             p = _plain_fast(w)
             if q and (p in q or _unwrapped(p, q, _WRAPPERS_PLAIN)):
                 echo[i] = bool(p)
@@ -376,6 +374,8 @@ def ending_tables(responses: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------------------------------------------
 
 _READABLE = r"[\p{L}\p{N}]"
+#: Blanks and marks that may stand around a word for "no value".
+_MARKS = r"[\s\p{Z}*_`'\".。!！?？（）()\[\]【】\-—]+"
 _FOUND = "table_name string, pair_id long, defect string"
 
 
@@ -399,7 +399,7 @@ def classify(questions: list, responses: list, errors: list, whole: np.ndarray,
     total = np.maximum(cover.sum(1), 1)
     stripped = pc.replace_substring_regex(pa.array([r or "" for r in responses], pa.string()), "(?s)<[^<>]{0,40}>|" + _INVISIBLE, "")
     readable = _matches(stripped, _READABLE)
-    short = pc.utf8_length(stripped).to_numpy(zero_copy_only=False) <= 12
+    short = pc.utf8_length(pc.replace_substring_regex(stripped, _MARKS, "")).to_numpy(zero_copy_only=False) <= 12
     out: list[str | None] = []
     for i in range(n):
         c = cover[i] / total[i]
@@ -443,5 +443,6 @@ def broken_pairs(evaluations: DataFrame, reports: DataFrame) -> DataFrame:
     previews = reports.select(F.lit("e2e_report").alias("table_name"), F.col("report_id").alias("pair_id"), "question", F.col("answer_preview").alias("response"), "error", F.lit(False).alias("whole"))
     field = clause_field()
     tables = evaluations.sparkSession.sparkContext.broadcast(ending_tables(whole))
-    tagged = spread(whole).unionByName(spread(previews)).mapInArrow(_tag_pairs(field, tables), _FOUND)
-    return tagged.dropDuplicates(["table_name", "pair_id"])
+    # Only defects are shuffled: equal records have equal ones, so the ids can be told apart afterwards.
+    tagged = [once(spread(rows).mapInArrow(_tag_pairs(field, tables), _FOUND), "pair_id") for rows in (whole, previews)]
+    return tagged[0].unionByName(tagged[1])

@@ -2,7 +2,9 @@
 
 import random
 
-from gleanery.llm import textstats
+import numpy as np
+
+from gleanery.llm import pairs, textstats
 
 WORDS = "house river cloud paper stone garden winter engine market signal window bridge letter forest number valley".split()
 
@@ -45,3 +47,17 @@ def test_repeated_phrases_of_any_length_and_place():
     leaders = "\n".join(f"{w.title()} of the matter {'.' * 60} {i}" for i, w in enumerate(WORDS))
     rows = "\n".join(f"| A{i:02} | available | 10 EUR | north |" for i in range(20))
     assert max(map(textstats._repeats, (leaders, rows, prose(rng, 30)))) < 0.6
+
+
+def test_pairs_without_an_id_all_come_out(spark):
+    ev = spark.createDataFrame([(None, "Why?", None), (None, "Why?", "I cannot answer this question."), (1, "Why?", None), (1, "Why?", None)], "result_id long, query string, response string")
+    rp = spark.createDataFrame([(None, "Why?", None, None), (None, "Why?", "N/A", None)], "report_id long, question string, answer_preview string, error string")
+    got = sorted((r["table_name"], r["pair_id"] or 0, r["defect"]) for r in pairs.broken_pairs(ev, rp).collect())
+    assert got == [("e2e_report", 0, "empty"), ("e2e_report", 0, "empty"), ("evaluation_results", 0, "empty"), ("evaluation_results", 0, "refusal"), ("evaluation_results", 1, "empty")]
+
+
+def test_long_copies_and_padded_words():
+    question = "缓存为什么要定期清理并且重新加载全部的索引文件"
+    responses = [question * 12, "          N/A          ", "-- -- -- -- -- none -- -- --"]
+    got = pairs.classify([question] * 3, responses, [None] * 3, np.array([False] * 3), pairs.clause_field())
+    assert got == ["copy", "empty", "empty"]
