@@ -1,5 +1,9 @@
-"""Question rules on small fixtures with the cuts of the blueprint."""
+"""Question rules on small fixtures with the cuts of the blueprint, and the names the README gives."""
 
+import re
+from pathlib import Path
+
+import __spark_entry__ as entry
 from gleanery.plans import rules, steps
 
 
@@ -27,3 +31,9 @@ def test_question_context(spark):
     assert got[:3] == [(1, 1, 10, "[文档1] the cache is cleared at night。", False), (1, 2, 11, "[文档2] the cache is small。", False), (1, 3, 10, "[文档1] nothing here of use。", False)]
     assert got[3:5] == [(2, 1, 10, "[文档1] " + "abcdefghij" * 3, True), (2, 2, 11, "[文档2] " + "klmnopqrst" * 7, True)]
     assert got[5:] == [(3, 1, 12, "[文档1] " + ("cache " * 40)[:100], True)]
+
+
+def test_readme_names_every_query():
+    text = (Path(__file__).resolve().parent.parent / "README.md").read_text()
+    named = set(re.findall(r"`((?:[vjga]|st)\d+_\w+)`", text))
+    assert {n for n in entry.queries() if re.match(r"(?:[vjga]|st)\d+_", n)} == named and "_…" not in text
