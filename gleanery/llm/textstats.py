@@ -62,7 +62,7 @@ _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 
 def language(text: str, said: str | None) -> str:
     """Language from script and function words; what is said only breaks a draw."""
-    letters = re.findall(r"[^\W\d_]", text[:20000]) if text else []
+    letters = re.findall(r"[^\W\d_]", text) if text else []
     said = _SPELLINGS.get((said or "").strip().lower().split("-")[0].split("_")[0], "other")
     if len(letters) < 3:
         return said

@@ -61,3 +61,7 @@ def test_long_copies_and_padded_words():
     responses = [question * 12, "          N/A          ", "-- -- -- -- -- none -- -- --"]
     got = pairs.classify([question] * 3, responses, [None] * 3, np.array([False] * 3), pairs.clause_field())
     assert got == ["copy", "empty", "empty"]
+
+
+def test_language_is_counted_over_the_whole_text():
+    assert textstats.language("the river and the house. " * 1000 + "缓存需要定期清理" * 2000, "en") == "zh"
