@@ -76,30 +76,46 @@ def split_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     strength = boundaries(text)
     positions = sorted(strength)
     fewest = -(-(n - overlap) // (limit - overlap))
-    most = fewest + max(2, fewest // 2)
-    forced = None
-    for count in range(fewest, most + 1):
+    # A fixed number of plans, so that the work grows with the text only, however many cuts must be forced.
+    counts = sorted({fewest, fewest + 1, fewest + 2, -(-9 * fewest // 8), -(-5 * fewest // 4), -(-3 * fewest // 2)})
+    best, least = None, n
+    for count in counts:
         pieces = _plan(text, positions, strength, n / count, count, limit, overlap)
-        if pieces and all(end in strength for _, end in pieces[:-1]):
-            return pieces
-        forced = forced or pieces
-        # A cut inside running text is only worth so many pieces more.
-        if forced and count > fewest + max(1, fewest // 4):
+        if not pieces:
+            continue
+        forced = sum(end not in strength for _, end in pieces[:-1])
+        # A cut inside running text is worth more pieces, the fewest that avoid it.
+        if forced < least:
+            best, least = pieces, forced
+        if not forced:
             break
-    if forced:
-        return forced
-    return _plan(text, [], {}, limit - overlap, -(-n // max(limit - overlap, 1)), limit, overlap, fill=True)
+    return best or _hard(text, limit, overlap)
+
+
+def _hard(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Full-length pieces wherever no plan holds; characters are only parted from their marks where nothing else fits."""
+    pieces, start, at = [], 0, 0
+    while True:
+        end = min(len(text), start + limit)
+        if end < len(text) and (whole := _whole(text, end)) > at:
+            end = whole
+        pieces.append((start, end))
+        if end == len(text):
+            return pieces
+        low = max(end - overlap, start + 1)
+        near = next((p for p in range(low, min(low + 32, end)) if _whole(text, p) == p), low)
+        start, at = near, end
 
 
-def _plan(text, positions, strength, size, count, limit, overlap, fill=False):
+def _plan(text, positions, strength, size, count, limit, overlap):
     n, cuts, at = len(text), [], 0
     for i in range(1, count):
         # The end of this piece must leave room for the overlap that comes before it and for the pieces after it.
         high = min(n - 1, at + limit - (overlap if at else 0))
         low = max(at + 1, n - (count - i) * (limit - overlap))
-        if low > high and not fill:
+        if low > high:
             return None
-        target = min(max(i * size, low), high) if not fill else high
+        target = min(max(i * size, low), high)
         slack = max(size / 2, 1)
         cut = _snap(positions, strength, target, int(max(low, target - slack)), int(min(high, target + slack)))
         at = cut if cut is not None else max(_whole(text, int(target)), at + 1)
