@@ -34,6 +34,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Documents a key bucket should hold; more documents make more buckets.
 BUCKET_ROWS = 20_000
 SEED = 20240601
+#: Classes of equal width in which the weights of a source are counted.
+WEIGHT_CLASSES = 20
 
 
 @lru_cache(maxsize=2)
@@ -75,14 +77,22 @@ def measured(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return cut_lineage(sized.filter("tokens > 0 and doc_id is not null").dropDuplicates(["doc_id"]))
 
 
+def _weight_class():
+    return F.least(F.floor(F.col("weight") * WEIGHT_CLASSES), F.lit(WEIGHT_CLASSES - 1))
+
+
 def prefix_sums(sized: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``doc_id, source, tokens, before``: tokens of the source that come before in its random order."""
     # u lies in (0, 1): 53 bits of the hash, shifted off zero.
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(2**53)
     keyed = sized.withColumn("key", -F.log(u) / F.col("weight"))
     buckets = max(16, math.ceil(sized.count() / bucket_rows))
-    # exp(-key) is uniform for weight 1 and monotone for any: a bucket is a range of keys.
-    keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+    # The share of a source's keys below a key is the mean of 1 - exp(-weight * key) over its weights: monotone,
+    # and even whatever the weights are, so a bucket is a range of keys that holds its share of the documents.
+    classes = [F.count(F.when(_weight_class() == i, 1)).alias(f"w{i}") for i in range(WEIGHT_CLASSES)]
+    weights = keyed.groupBy("source").agg(*classes, F.count(F.lit(1)).alias("n_weights"))
+    below = sum((F.col(f"w{i}") * (1 - F.exp(-F.col("key") * ((i + 0.5) / WEIGHT_CLASSES))) for i in range(WEIGHT_CLASSES)), F.lit(0.0)) / F.col("n_weights")
+    keyed = keyed.join(weights, "source").withColumn("bucket", F.floor(below * buckets).cast("int")).select("doc_id", "source", "tokens", "weight", "key", "bucket")
     totals = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("bucket_tokens"))
     base = totals.select("source", "bucket", (F.sum("bucket_tokens").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_tokens")).alias("base"))
     within = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
