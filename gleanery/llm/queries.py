@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import leakage, mixing, neardup, pairs, residue, sketch, splitting, textstats
-from gleanery.runtime import once, table
+from gleanery.runtime import cut_lineage, once, table
 
 
 def _latencies(spark: SparkSession, d: str) -> DataFrame:
@@ -33,12 +33,19 @@ def p1_day_sketches(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_period_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Months and the whole span from the day sketches, without reading the rows again."""
-    days = sketch.cell_sketches(_latencies(spark, d)).persist()
+    days = cut_lineage(sketch.cell_sketches(_latencies(spark, d)))
     months = sketch.quantile_rows(sketch.roll_up(days, F.to_date(F.date_trunc("month", "day")))).withColumn("span", F.lit("month"))
     whole = sketch.quantile_rows(sketch.roll_up(days, F.lit(None).cast("date"))).withColumn("span", F.lit("all"))
     return months.unionByName(whole)
 
 
+def p1_rank_check(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the whole span, where every cell has been compacted, against exact ranks."""
+    values = cut_lineage(_latencies(spark, d).withColumn("day", F.lit(None).cast("date")))
+    whole = sketch.roll_up(sketch.cell_sketches(_latencies(spark, d)), F.lit(None).cast("date"))
+    return sketch.rank_check(values, whole)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "chunks"))
 
@@ -100,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p1_day_percentiles,
         p1_day_sketches,
         p1_period_percentiles,
+        p1_rank_check,
         p3_found,
         p3_clean,
         p4_found,

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Section size; rank_error(64) is about 0.6 % of the distance to the top.
 K = 64
 PROBS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
-#: Partial sketches of one cell that a single task may merge; beyond it they are merged in two rounds.
+#: Tasks the partial sketches of one cell are dealt to, and the most the last round merges.
 FAN_IN = 64
 
 
@@ -209,12 +209,15 @@ def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield _record(done)
 
 
-def merge_sketches(partials: DataFrame, fan_in_bound: int) -> DataFrame:
-    """One sketch per cell. ``fan_in_bound``: the most partial sketches one cell can have."""
-    if fan_in_bound > FAN_IN:
-        salted = partials.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(FAN_IN))).repartition(*CELL, "salt").sortWithinPartitions(*CELL, "salt")
-        partials = salted.drop("salt").mapInArrow(_merge_sorted, _SKETCH_SCHEMA)
-    return partials.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_merge_sorted, _SKETCH_SCHEMA)
+def merge_sketches(partials: DataFrame) -> DataFrame:
+    """One sketch per cell, merged in two rounds.
+
+    A hot cell has a partial from every partition of the scan, a number known only at run time, so its
+    partials are first dealt to ``FAN_IN`` tasks; the last round merges at most ``FAN_IN`` sketches a cell.
+    """
+    salted = partials.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(FAN_IN))).repartition(*CELL, "salt").sortWithinPartitions(*CELL, "salt")
+    first = salted.drop("salt").mapInArrow(_merge_sorted, _SKETCH_SCHEMA)
+    return first.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_merge_sorted, _SKETCH_SCHEMA)
 
 
 def cell_sketches(values: DataFrame, k: int = K) -> DataFrame:
@@ -222,15 +225,12 @@ def cell_sketches(values: DataFrame, k: int = K) -> DataFrame:
 
     Each partition sends one bounded sketch per cell, however many rows a hot group has.
     """
-    partials = values.select(*CELL, F.col("value").cast("double").alias("value")).mapInArrow(_partial(k), _SKETCH_SCHEMA)
-    # After AQE the number of partitions is known only at run time; the shuffle setting bounds it.
-    bound = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return merge_sketches(partials, bound)
+    return merge_sketches(values.select(*CELL, F.col("value").cast("double").alias("value")).mapInArrow(_partial(k), _SKETCH_SCHEMA))
 
 
 def roll_up(sketches: DataFrame, day) -> DataFrame:
     """Sketches of longer spans (``day`` is an expression of the day) from day sketches alone."""
-    return merge_sketches(sketches.withColumn("day", day), FAN_IN + 1)
+    return merge_sketches(sketches.withColumn("day", day))
 
 
 _QUANTILE_SCHEMA = "metric string, grp string, day date, n_rows long, n_measured long, prob double, value double"
@@ -249,3 +249,21 @@ def quantile_rows(sketches: DataFrame, probs=PROBS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, prob, value], names=[*_NAMES[:5], "prob", "value"])
 
     return sketches.mapInArrow(read, _QUANTILE_SCHEMA)
+
+
+def rank_check(values: DataFrame, sketches: DataFrame, probs=PROBS, k: int = K) -> DataFrame:
+    """Every percentile of ``sketches`` against the exact ranks of ``values``: ``within`` the stated error or not.
+
+    Of ties any rank is right, so an answer's distance is that of the wanted rank to its range of ranks.
+    """
+    answers = quantile_rows(sketches, probs).filter("n_measured > 0")
+    good = values.filter((F.col("value") > 0) & (F.col("value") < F.lit(float("inf"))))
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"a.{c}")) for c in CELL]
+    # Answers are a few rows a cell; the values are counted against them, cell by cell, with map-side sums.
+    met = answers.alias("a").join(good.alias("v"), same)
+    ranks = met.groupBy(*[F.col(f"a.{c}").alias(c) for c in CELL], "prob", F.col("a.n_measured").alias("n_measured")).agg(
+        F.count(F.when(F.col("v.value") < F.col("a.value"), 1)).alias("below"), F.count(F.when(F.col("v.value") <= F.col("a.value"), 1)).alias("upto")
+    )
+    wanted = F.greatest(F.ceil(F.col("prob") * F.col("n_measured") - 1e-9), F.lit(1))
+    off = F.greatest(F.col("below") + 1 - wanted, wanted - F.col("upto"), F.lit(0))
+    return ranks.select(*CELL, "prob", "n_measured", (off <= rank_error(k) * (1 - F.col("prob")) * F.col("n_measured") + 1).alias("within"))

@@ -20,6 +20,17 @@ SELECT c.metric, c.grp, c.day, c.n_rows, c.n_measured, p.prob, r.v AS value
 FROM cells c CROSS JOIN probs p
 LEFT JOIN ranked r ON r.metric = c.metric AND r.grp IS NOT DISTINCT FROM c.grp AND r.day IS NOT DISTINCT FROM c.day
   AND r.rn = greatest(1, ceil(p.prob * c.n_measured - 1e-9))
+""",
+    "p1_rank_check": """
+WITH cat AS (SELECT id, min(category) AS category FROM e2e_set GROUP BY id),
+rep AS (SELECT report_id, any_value(id) AS id, any_value(latency_ms) AS v FROM e2e_report GROUP BY report_id),
+ben AS (SELECT bench_id, any_value(model) AS model, any_value(latency) AS v FROM benchmark_results GROUP BY bench_id),
+vals AS (
+  SELECT 'e2e_latency_ms' AS metric, c.category AS grp, CAST(r.v AS DOUBLE) AS v FROM rep r LEFT JOIN cat c ON r.id = c.id
+  UNION ALL SELECT 'bench_latency_s', model, v FROM ben),
+cells AS (SELECT metric, grp, count(*) AS n_measured FROM vals WHERE v > 0 AND isfinite(v) GROUP BY ALL),
+probs AS (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]) :: DOUBLE AS prob)
+SELECT metric, grp, CAST(NULL AS DATE) AS day, prob, n_measured, true AS within FROM cells CROSS JOIN probs
 """,
     "p4_found": "SELECT DISTINCT doc_id FROM chunks WHERE length(content) > 800",
     "p5_found": """
