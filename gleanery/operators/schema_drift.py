@@ -1,24 +1,28 @@
 """Schemas that drift between exported files.
 
-File-header schemas are read in parallel (one pass over the payload lines yields every path with its
-type), folded through a type-promotion lattice into one union schema, all lines are cast to that
-schema, and each file is compared with the one before it in its series to give an ordered change log.
+File-header schemas are read in parallel (each task counts the types of every path of its lines, the
+counts are added up per file), folded through a type-promotion lattice, per file for the change log and
+over all files for the union schema; all lines are cast to that schema, and each file is compared with
+the one before it in its series to give an ordered change log.
 
 Defined results for odd input: a payload that is null, blank, cut short or not a JSON object gives no
-row; null members count as absent; a line that was loaded twice counts once; a file without a sound
-line has no paths; an empty table gives an empty report. Keys may hold any characters; keys that only
-differ by letter case stay apart (the union table is keyed by column names with a numeric suffix then).
+row; null members count as absent; a line that was loaded twice counts once, two sound payloads under one
+line number are two rows; a file without a sound line has no paths; an empty table gives an empty report.
+Integers beyond 64 bits make a decimal column, beyond 38 digits (or mixed with fractions beyond a double's
+exact range) a text column, and never a null. Keys may hold any characters; keys that only differ by letter
+case stay apart (the union table is keyed by column names with a numeric suffix then); of "a.b" and
+{"a": {"b": ..}} in one object the first value is the cell's.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanery.runtime import bounded_rows, cut_lineage
 
@@ -28,7 +32,13 @@ KINDS = ("string", "number", "boolean", "array", "object")
 #: Width limit of the union table; the list of columns is schema, not data.
 MAX_COLUMNS = 5000
 
-_CELL_SCHEMA = "series_id long, file_id long, case_id long, line_no int, path string, parent string, kind string, is_float boolean, value string"
+#: Numbers of a path, from narrow to wide: 64-bit integers, 38-digit integers, doubles, and text for the rest.
+_SAFE, _LONG, _HUGE = 2**53, 2**63, 10**38
+
+#: A file header: one row per path with how many values have each kind, and the widest numbers met.
+_COUNTS = (*KINDS, "n_float", "n_unsafe", "n_big", "n_huge")
+_HEADER_SCHEMA = "series_id long, file_id long, path string, parent string, " + ", ".join(f"{c} long" for c in _COUNTS)
+_VALUE_SCHEMA = "file_id long, case_id long, path string, value string"
 
 
 def _kind(value) -> str:
@@ -65,49 +75,104 @@ def _walk(record: dict, parent: str = "") -> Iterator[tuple[str, str, object]]:
             yield from _walk(value, path)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
-        series, files, lines, payloads = (batch.column(c).to_pylist() for c in ("series_id", "file_id", "line_no", "payload"))
-        for s, f, n, text in zip(series, files, lines, payloads, strict=True):
-            try:
-                record = json.loads(text) if text else None
-            except (ValueError, RecursionError):
-                continue
-            if not isinstance(record, dict):
-                continue
-            case = record.get("case_id")
-            case = case if isinstance(case, int) and not isinstance(case, bool) and abs(case) < 2**63 else None
-            for path, parent, value in _walk(record):
-                row = (s, f, case, n, path, parent, _kind(value), isinstance(value, float), _canon(value))
-                for column, cell in zip(out, row, strict=True):
-                    column.append(cell)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string())
-        names = [c.split()[0] for c in _CELL_SCHEMA.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+def _record(text: str | None) -> dict | None:
+    """The object a payload holds; None for anything else."""
+    try:
+        record = json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
 
 
-def payload_cells(lines: DataFrame) -> DataFrame:
-    """One row per (file, line, path) with a non-null value; lines loaded twice come out once."""
-    once = lines.select("series_id", "file_id", "line_no", "payload").dropDuplicates(["file_id", "line_no", "payload"])
-    return once.mapInArrow(_cells, _CELL_SCHEMA)
+def _case(record: dict) -> int | None:
+    case = record.get("case_id")
+    return case if isinstance(case, int) and not isinstance(case, bool) and abs(case) < _LONG else None
 
 
-def file_schemas(cells: DataFrame) -> DataFrame:
-    """Header schema of each file: the kind most of a path's values have (ties: the order of KINDS)."""
-    counts = cells.groupBy("series_id", "file_id", "path", "parent").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS])
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial headers of the lines of one task: a row per file and path, however many lines there are."""
+    held: dict[tuple, list[int]] = {}
+    for batch in batches:
+        for s, f, text in zip(*(batch.column(c).to_pylist() for c in ("series_id", "file_id", "payload")), strict=True):
+            record = _record(text)
+            if record is None:
+                continue
+            for path, parent, value in _walk(record):
+                counts = held.get((s, f, path, parent))
+                if counts is None:
+                    counts = held[s, f, path, parent] = [0] * len(_COUNTS)
+                kind = _kind(value)
+                counts[KINDS.index(kind)] += 1
+                if kind == "number":
+                    size = abs(value)
+                    counts[5] += isinstance(value, float)
+                    counts[6] += isinstance(value, int) and size > _SAFE
+                    counts[7] += isinstance(value, int) and not -_LONG <= value < _LONG
+                    counts[8] += isinstance(value, int) and size >= _HUGE
+        if len(held) > 200_000:
+            yield _header_batch(held)
+            held = {}
+    yield _header_batch(held)
+
+
+def _header_batch(held: dict[tuple, list[int]]) -> pa.RecordBatch:
+    keys, counts = list(held), list(held.values())
+    columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
+    columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(_COUNTS))]
+    return pa.RecordBatch.from_arrays(columns, names=["series_id", "file_id", "path", "parent", *_COUNTS])
+
+
+def sound_lines(lines: DataFrame) -> DataFrame:
+    """Lines that hold an object by the look of them; lines loaded twice come out once."""
+    held = lines.select("series_id", "file_id", "line_no", "payload").filter(F.col("payload").rlike(r"^\s*\{"))
+    return held.dropDuplicates(["file_id", "line_no", "payload"])
+
+
+def file_headers(sound: DataFrame) -> DataFrame:
+    """Header schema of every file, read in parallel: partial counts per task, added up per file and path."""
+    return sound.mapInArrow(_headers, _HEADER_SCHEMA).groupBy("series_id", "file_id", "path", "parent").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def promoted(headers: DataFrame, *keys: str) -> DataFrame:
+    """Headers folded through the lattice over all rows of equal ``keys``: ``data_type``, ``kind`` and ``n_files``.
+
+    boolean; long < 38-digit decimal; long < double while no integer is beyond a double's exact range; text
+    above all. Arrays and objects are JSON text. ``kind`` is what most values are (ties: the order of KINDS).
+    """
+    folded = headers.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _COUNTS], F.count_distinct("file_id").alias("n_files"))
+    total = sum((F.col(k) for k in KINDS), F.lit(0))
+    number = F.when(F.col("n_float") > 0, F.when(F.col("n_unsafe") == 0, "double").otherwise("string")).when(F.col("n_huge") > 0, "string").when(F.col("n_big") > 0, "decimal(38,0)").otherwise("long")
+    data_type = F.when(F.col("number") == total, number).when(F.col("boolean") == total, "boolean").otherwise("string")
     best = F.greatest(*KINDS)
     kind = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in KINDS])
-    return counts.select("series_id", "file_id", "path", "parent", kind.alias("kind"))
+    return folded.select(*keys, data_type.alias("data_type"), kind.alias("kind"), "n_files")
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values of the paths in ``wanted`` only, cast to text that is equal exactly for equal values."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(4)]
+        for f, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("file_id", "payload", "wanted")), strict=True):
+            record = _record(text)
+            case = _case(record) if record is not None else None
+            if case is None:
+                continue
+            asked = set(wanted)
+            for path, _, value in _walk(record):
+                if path in asked:
+                    for column, cell in zip(out, (f, case, path, _canon(value)), strict=True):
+                        column.append(cell)
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["file_id", "case_id", "path", "value"])
 
 
 def files_in_order(lines: DataFrame) -> DataFrame:
-    """Each file with the one before it in its series (by export time, then id)."""
+    """Each file with the one before it in its series (by export time, then id) and its number there."""
     files = lines.groupBy("file_id").agg(F.min("series_id").alias("series_id"), F.min("exported_at").alias("exported_at"))
-    # Only the sequence of one series' files is ordered in a task: one small row per file, no payload.
-    chain = files.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("exported_at", "file_id"))).alias("chain"))
-    pair = F.transform(F.sequence(F.lit(1), F.size("chain") - 1), lambda i: F.struct(F.get("chain", i - 1)["file_id"].alias("old_file"), F.get("chain", i)["file_id"].alias("file_id")))
-    return chain.filter(F.size("chain") > 1).select("series_id", F.explode(pair).alias("p")).select("series_id", "p.old_file", "p.file_id")
+    # One small row per file and no payload: a series' files sort with spilling, in no task's memory at once.
+    order = Window.partitionBy("series_id").orderBy("exported_at", "file_id")
+    placed = files.select("series_id", "file_id", F.lag("file_id").over(order).alias("old_file"), F.row_number().over(order).alias("file_no"))
+    return placed.filter("old_file is not null").select("series_id", "old_file", "file_id", "file_no")
 
 
 def schema_changes(lines: DataFrame, share: float = 0.8, least: int = 3) -> DataFrame:
@@ -117,21 +182,24 @@ def schema_changes(lines: DataFrame, share: float = 0.8, least: int = 3) -> Data
     (and at least ``least``) of the cases with both values have equal ones; each path takes part in
     one rename, the best match first. Changes below a changed path are left out.
     """
-    # The lines are parsed twice rather than kept exploded; what is kept (schemas, pairs, changes) is schema-sized.
-    cells = payload_cells(lines)
-    schema = cut_lineage(file_schemas(cells))
+    # The lines are parsed twice rather than kept exploded; what is kept (headers, pairs, changes) is schema-sized.
+    sound = sound_lines(lines)
+    headers = cut_lineage(file_headers(sound))
+    schema = promoted(headers, "file_id", "path", "parent").select("file_id", "path", "parent", "kind")
     pairs = files_in_order(lines)
-    new = pairs.join(schema.drop("series_id"), "file_id").select("file_id", "path", "parent", F.col("kind").alias("new_kind"))
-    old = pairs.join(schema.drop("series_id").withColumnRenamed("file_id", "old_file"), "old_file").select("file_id", "old_file", "path", "parent", F.col("kind").alias("old_kind"))
+    new = pairs.join(schema, "file_id").select("file_id", "path", "parent", F.col("kind").alias("new_kind"))
+    old = pairs.join(schema.withColumnRenamed("file_id", "old_file"), "old_file").select("file_id", "old_file", "path", "parent", F.col("kind").alias("old_kind"))
     both = old.join(new, ["file_id", "path", "parent"], "full_outer").filter(~F.col("old_kind").eqNullSafe(F.col("new_kind")))
     both = cut_lineage(both)
 
     gone = both.filter("new_kind is null").select("file_id", "old_file", "parent", F.col("path").alias("old_path"), F.col("old_kind").alias("kind"))
     came = both.filter("old_kind is null").select("file_id", "parent", F.col("path").alias("new_path"), F.col("new_kind").alias("kind"))
     couples = cut_lineage(gone.join(came, ["file_id", "parent", "kind"]))
-    # Only values of paths that may be renamed are shuffled.
-    wanted = couples.select(F.col("old_file").alias("file_id"), F.col("old_path").alias("path")).union(couples.select("file_id", F.col("new_path").alias("path"))).distinct()
-    values = cells.filter("case_id is not null").join(wanted, ["file_id", "path"], "left_semi").groupBy("file_id", "path", "case_id").agg(F.max("value").alias("value"))
+    # Only values of paths that may be renamed leave the lines: a file's list of them is part of its header.
+    ends = couples.select(F.col("old_file").alias("file_id"), F.col("old_path").alias("path")).union(couples.select("file_id", F.col("new_path").alias("path")))
+    wanted = ends.groupBy("file_id").agg(F.collect_set("path").alias("wanted"))
+    asked = sound.join(wanted, "file_id").select("file_id", "payload", "wanted")
+    values = asked.mapInArrow(_values, _VALUE_SCHEMA).groupBy("file_id", "path", "case_id").agg(F.max("value").alias("value"))
     old_values = couples.join(values.select(F.col("file_id").alias("old_file"), F.col("path").alias("old_path"), "case_id", F.col("value").alias("old_value")), ["old_file", "old_path"])
     matched = (
         old_values.join(values.select("file_id", F.col("path").alias("new_path"), "case_id", F.col("value").alias("new_value")), ["file_id", "new_path", "case_id"])
@@ -139,7 +207,8 @@ def schema_changes(lines: DataFrame, share: float = 0.8, least: int = 3) -> Data
         .agg(F.count(F.lit(1)).alias("n_both"), F.count(F.when(F.col("old_value") == F.col("new_value"), 1)).alias("n_equal"))
         .filter((F.col("n_equal") >= least) & (F.col("n_equal") >= share * F.col("n_both") - 1e-9))
     )
-    renames = cut_lineage(matched.groupBy("file_id").applyInPandas(_best_first, "file_id long, old_path string, new_path string"))
+    # A file's possible renames are schema, a bounded group; all files of a task are settled in one call.
+    renames = cut_lineage(matched.groupBy("file_id").agg(F.collect_list(F.struct("old_path", "new_path", "n_both", "n_equal")).alias("options")).mapInArrow(_best_first, "file_id long, old_path string, new_path string"))
 
     removed = gone.select("file_id", F.col("old_path").alias("path")).join(renames.withColumnRenamed("old_path", "path"), ["file_id", "path"], "left")
     removed = removed.select("file_id", "path", F.when(F.col("new_path").isNull(), "removed").otherwise("renamed").alias("change_kind"), F.coalesce("new_path", F.lit("")).alias("new_path"))
@@ -158,48 +227,96 @@ def schema_changes(lines: DataFrame, share: float = 0.8, least: int = 3) -> Data
     return changes.join(hidden, ["file_id", "path", "change_kind", "new_path"], "left_anti")
 
 
-def _best_first(pdf):
-    """Greedy one-to-one renames of one file: a file's paths are schema, a bounded group."""
-    rows = sorted(pdf.itertuples(index=False), key=lambda r: (-r.n_equal / r.n_both, -r.n_equal, r.old_path, r.new_path))
-    used_old, used_new, keep = set(), set(), []
-    for r in rows:
-        if r.old_path not in used_old and r.new_path not in used_new:
-            used_old.add(r.old_path)
-            used_new.add(r.new_path)
-            keep.append((r.file_id, r.old_path, r.new_path))
-    return type(pdf)(keep, columns=["file_id", "old_path", "new_path"])
-
-
-def union_schema(cells: DataFrame) -> DataFrame:
-    """Fold all kinds a path ever had through the lattice: one row ``path, data_type, n_files``.
+def _best_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Greedy one-to-one renames of each file, the best match first."""
+    for batch in batches:
+        keep: list[tuple] = []
+        for file_id, options in zip(batch.column("file_id").to_pylist(), batch.column("options").to_pylist(), strict=True):
+            used_old, used_new = set(), set()
+            for r in sorted(options, key=lambda r: (-r["n_equal"] / r["n_both"], -r["n_equal"], r["old_path"], r["new_path"])):
+                if r["old_path"] not in used_old and r["new_path"] not in used_new:
+                    used_old.add(r["old_path"])
+                    used_new.add(r["new_path"])
+                    keep.append((file_id, r["old_path"], r["new_path"]))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["file_id", "old_path", "new_path"])
+
+
+def change_log(lines: DataFrame) -> DataFrame:
+    """The changes in order: series, number of the file in it, then path; with the lattice's type before and after."""
+    changes = schema_changes(lines)
+    types = promoted(cut_lineage(file_headers(sound_lines(lines))), "file_id", "path").select("file_id", "path", "data_type")
+    placed = changes.join(files_in_order(lines), "file_id")
+    before = types.select(F.col("file_id").alias("old_file"), "path", F.col("data_type").alias("old_type"))
+    after = types.select("file_id", F.col("path").alias("now_path"), F.col("data_type").alias("new_type"))
+    now = F.when(F.col("change_kind") == "renamed", F.col("new_path")).when(F.col("change_kind") != "removed", F.col("path"))
+    was = F.when(F.col("change_kind") != "added", F.col("path"))
+    joined = placed.withColumn("now_path", now).withColumn("was_path", was)
+    joined = joined.join(before.withColumnRenamed("path", "was_path"), ["old_file", "was_path"], "left").join(after, ["file_id", "now_path"], "left")
+    order = Window.partitionBy("series_id").orderBy("file_no", "path", "change_kind")
+    return joined.select("series_id", F.row_number().over(order).alias("change_no"), "file_no", "file_id", "path", "change_kind", "new_path", "old_type", "new_type")
+
+
+def union_schema(lines: DataFrame) -> DataFrame:
+    """All file headers folded into one schema: a row ``path, data_type, n_files`` per path."""
+    return promoted(file_headers(sound_lines(lines)), "path").select("path", "data_type", "n_files")
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "decimal(38,0)": pa.decimal128(38, 0)}
+
+
+def _cast(value, data_type: str):
+    """A value as the union column holds it; text columns keep strings as they are and the rest as JSON text."""
+    if data_type == "string":
+        return value.encode("utf-8", "replace").decode() if isinstance(value, str) else _canon(value)
+    if data_type == "decimal(38,0)":
+        return Decimal(value)
+    return float(value) if data_type == "double" else value
+
+
+def _casts(columns: list[tuple[str, str, str]]):
+    """Lines as rows of the union schema; ``columns`` holds path, column name and type."""
+    places = {path: i for i, (path, _, _) in enumerate(columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: list[list] = [[], [], [], []]
+            cells: list[list] = [[] for _ in columns]
+            for s, f, n, text in zip(*(batch.column(c).to_pylist() for c in ("series_id", "file_id", "line_no", "payload")), strict=True):
+                record = _record(text)
+                if record is None:
+                    continue
+                for column, key in zip(keys, (s, f, n, _case(record)), strict=True):
+                    column.append(key)
+                row: list = [None] * len(columns)
+                for path, _, value in _walk(record):
+                    at = places[path]
+                    # A key with a dot and a nested one may spell the same path: the first value stays.
+                    if row[at] is None:
+                        row[at] = _cast(value, columns[at][2])
+                for column, cell in zip(cells, row, strict=True):
+                    column.append(cell)
+            made = [pa.array(c, t) for c, t in zip(keys, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            made += [pa.array(c, _ARROW[t]) for c, (_, _, t) in zip(cells, columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, names=["series_id", "file_id", "line_no", "case_id", *[name for _, name, _ in columns]])
 
-    boolean, long < double, and text above all; arrays and objects stay JSON text unless mixed.
-    """
-    folded = cells.groupBy("path").agg(
-        F.collect_set("kind").alias("kinds"),
-        F.max("is_float").alias("has_float"),
-        F.count_distinct("file_id").alias("n_files"),
-    )
-    only = lambda kind: F.array_except("kinds", F.array(F.lit(kind))) == F.array().cast("array<string>")
-    lattice = F.when(only("number"), F.when(F.col("has_float"), "double").otherwise("long")).when(only("boolean"), "boolean").otherwise("string")
-    return folded.select("path", lattice.alias("data_type"), "n_files")
+    return run
 
 
 def unified_table(lines: DataFrame) -> DataFrame:
-    """All sound lines of all files in one table: a column per path, cast to its promoted type."""
-    cells = payload_cells(lines)
-    columns = sorted((r["path"], r["data_type"]) for r in bounded_rows(union_schema(cells), MAX_COLUMNS, "columns of the union table"))
-    keys = ["series_id", "file_id", "line_no", "case_id"]
-    text = F.when(F.col("kind") == "string", F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), T.StructType([T.StructField("v", T.StringType())]))["v"]).otherwise(F.col("value"))
-    rows = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("path", text))).alias("cell_map"))
-    taken = {k.lower() for k in keys}
-    out = [F.col(k) for k in keys]
-    for path, data_type in columns:
+    """All sound lines of all files in one table: a column per path, cast to its promoted type.
+
+    A narrow map after the one exchange that drops lines loaded twice; only the union schema, whose width
+    is checked, goes to the driver and to the tasks.
+    """
+    rows = bounded_rows(union_schema(lines), MAX_COLUMNS, "columns of the union table")
+    taken = {"series_id", "file_id", "line_no", "case_id"}
+    columns = []
+    for path, data_type in sorted((r["path"], r["data_type"]) for r in rows):
         name, n = path.replace(".", "__"), 1
         while name.lower() in taken:
             n += 1
             name = f"{path.replace('.', '__')}__{n}"
         taken.add(name.lower())
-        cell = F.element_at("cell_map", F.lit(path))
-        out.append((cell if data_type == "string" else cell.try_cast(data_type)).alias(name))
-    return rows.select(*out)
+        columns.append((path, name, data_type))
+    schema = "series_id long, file_id long, line_no int, case_id long" + "".join(f", `{name.replace('`', '``')}` {t}" for _, name, t in columns)
+    return sound_lines(lines).mapInArrow(_casts(columns), schema)

@@ -17,4 +17,9 @@ def p2_unified(spark, d):
 
 @query("p2_union_schema")
 def p2_union_schema(spark, d):
-    return schema_drift.union_schema(schema_drift.payload_cells(table(spark, d, "result_files")))
+    return schema_drift.union_schema(table(spark, d, "result_files"))
+
+
+@query("p2_change_log")
+def p2_change_log(spark, d):
+    return schema_drift.change_log(table(spark, d, "result_files"))

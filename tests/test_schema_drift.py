@@ -125,5 +125,39 @@ def test_lattice(spark):
     from datetime import datetime
 
     rows = [(1, f, datetime(2024, 1, f), 1, t) for f, t in ((1, '{"a": 1, "b": true, "c": 1}'), (2, '{"a": 2.5, "b": false, "c": "x"}'))]
-    got = {r["path"]: r["data_type"] for r in sd.union_schema(sd.payload_cells(spark.createDataFrame(rows, SCHEMA))).collect()}
+    got = {r["path"]: r["data_type"] for r in sd.union_schema(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {"a": "double", "b": "boolean", "c": "string"}
+
+
+def test_clashing_keys_lines_and_big_integers(spark):
+    from datetime import datetime
+    from decimal import Decimal
+
+    big, huge, odd = 10**20 - 1, 10**45, 2**60 + 1
+    texts = (
+        (1, '{"a.b": 1, "a": {"b": 2}, "big": %d, "huge": %d, "mix": %d}' % (big, huge, odd)),
+        (1, '{"a": {"b": 3}, "big": 5, "huge": 5, "mix": 0.5}'),
+        (2, '\n\t{"big": null, "mix": 1}'),
+    )
+    rows = [(1, 1, datetime(2024, 1, 1), n, t) for n, t in texts]
+    df = spark.createDataFrame(rows + rows[:1], SCHEMA)
+    types = {r["path"]: r["data_type"] for r in sd.union_schema(df).collect()}
+    assert types == {"a.b": "long", "a": "string", "big": "decimal(38,0)", "huge": "string", "mix": "string"}
+    out = sorted(sd.unified_table(df).collect(), key=lambda r: (r["line_no"], r["a__b"] or 0))
+    assert [r["line_no"] for r in out] == [1, 1, 2]
+    assert [r["a__b"] for r in out] == [1, 3, None]
+    assert [r["big"] for r in out] == [Decimal(big), Decimal(5), None]
+    assert [r["huge"] for r in out] == [str(huge), "5", None]
+    assert [r["mix"] for r in out] == [str(odd), "0.5", "1"]
+
+
+def test_change_log_is_ordered_and_typed(spark):
+    df = spark.createDataFrame(make(1), SCHEMA)
+    log = sd.change_log(df).collect()
+    assert {(r["file_id"], r["path"], r["change_kind"], r["new_path"]) for r in log} == {tuple(r) for r in sd.schema_changes(df).collect()}
+    by_series: dict = {}
+    for r in sorted(log, key=lambda r: (r["series_id"], r["change_no"])):
+        by_series.setdefault(r["series_id"], []).append((r["change_no"], r["file_no"], r["old_type"], r["change_kind"]))
+    for rows in by_series.values():
+        assert [n for n, *_ in rows] == list(range(1, len(rows) + 1)) and [f for _, f, *_ in rows] == sorted(f for _, f, *_ in rows)
+        assert all((t is None) == (kind == "added") for _, _, t, kind in rows)
