@@ -122,10 +122,18 @@ def _header_batch(held: dict[tuple, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["series_id", "file_id", "path", "parent", *_COUNTS])
 
 
+#: Lines of a file that are read together; the lines of a longer file are dealt to several tasks.
+LINE_BLOCK = 4096
+
+
 def sound_lines(lines: DataFrame) -> DataFrame:
-    """Lines that hold an object by the look of them; lines loaded twice come out once."""
+    """Lines that hold an object by the look of them; lines loaded twice come out once.
+
+    The one exchange brings a file's lines together by blocks, so its header is counted where they meet.
+    """
     held = lines.select("series_id", "file_id", "line_no", "payload").filter(F.col("payload").rlike(r"^\s*\{"))
-    return held.dropDuplicates(["file_id", "line_no", "payload"])
+    held = held.withColumn("block", F.floor(F.coalesce("line_no", F.lit(0)) / LINE_BLOCK)).repartition("file_id", "block")
+    return held.dropDuplicates(["file_id", "block", "line_no", "payload"]).drop("block")
 
 
 def file_headers(sound: DataFrame) -> DataFrame:
