@@ -54,6 +54,10 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return residue.clean(table(spark, d, "chunks")).select("doc_id", "source", "page").distinct()
 
 
+def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return residue.evidence(table(spark, d, "chunks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "chunks"))
 
@@ -110,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p1_rank_check,
         p3_found,
         p3_clean,
+        p3_evidence,
         p4_found,
         p4_pieces,
         p5_found,

@@ -62,24 +62,43 @@ def test_roll_up_equals_all_rows(spark):
 # --- residue ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    ("text", "kind"),
-    [
-        ("Error 404\n\nThe page you asked for could not be delivered.\n\nReference ab12cd3", "error_page"),
-        ("系统维护中，预计两小时后恢复访问。", "error_page"),
-        ("Please turn on JavaScript to go on.", "script_notice"),
-        ("本页面依赖脚本，否则无法显示正文。", "script_notice"),
-        ("Heading goes here\n\nSample paragraph, please overwrite.", "filler"),
-        ("foo bar baz " * 20, "filler"),
-        ("此处文字正在建设中，请勿发布。", "filler"),
-        ("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor.", "filler"),
-        ("A page that asks you to enable JavaScript gives the crawler nothing but that notice, so such sources are rendered first. The renderer keeps a pool of browsers for them.", None),
-        ("When the gateway answers with 404 Not Found or 502, the retry policy waits two seconds and then uses the spare set.", None),
-        ("", None),
-    ],
-)
-def test_body_kinds(text, kind):
-    assert residue.body_kind(text, True, False) == kind
+BODIES = [
+    ("Error 404\n\nThe page you asked for could not be delivered.\n\nReference ab12cd3", "error_page"),
+    ("系统维护中，预计两小时后恢复访问。", "error_page"),
+    ("Please turn on JavaScript to go on.", "script_notice"),
+    ("本页面依赖脚本，否则无法显示正文。", "script_notice"),
+    ("Heading goes here\n\nSample paragraph, please overwrite.", "filler"),
+    ("foo bar baz " * 20, "filler"),
+    ("此处文字正在建设中，请勿发布。", "filler"),
+    ("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor.", "filler"),
+    ("A page that asks you to enable JavaScript gives the crawler nothing but that notice, so such sources are rendered first. The renderer keeps a pool of browsers for them.", None),
+    ("When the gateway answers with 404 Not Found or 502, the retry policy waits two seconds and then uses the spare set.", None),
+    ("", None),
+]
+
+
+CHUNK = "doc_id string, content string, source string, metadata map<string,string>"
+
+
+def test_body_kinds(spark):
+    rows = [(f"d{i}", text, f"notes/x/{i}.md", {"title": "Sail making"}) for i, (text, _) in enumerate(BODIES)]
+    got = {r["doc_id"]: r["kind"] for r in residue.residue(spark.createDataFrame(rows, CHUNK)).collect()}
+    assert got == {f"d{i}": kind for i, (_, kind) in enumerate(BODIES) if kind}
+
+
+def test_return_under_other_titles_gives_unknown_notices_away(spark):
+    titles = ("Sail making", "Tide tables", "Bread ovens", "Rope walks", "Tea harvest")
+    rows = [(f"n{i}", "The kettle is on, look in again tomorrow.", f"a/b/{i}.md", {"title": t}) for i, t in enumerate(titles)]
+    rows += [(f"k{i}", f"{t} is an old craft. The tools are few and simple.", f"a/b/k{i}.md", {"title": t}) for i, t in enumerate(titles)]
+    # Alike in their opening only: neither is a copy of the other.
+    opening = "Sail making begins with the cloth and ends with the ropes, as every hand knows. " * 4
+    rows += [(f"o{i}", opening + t, f"a/b/o{i}.md", {"title": "Sail making"}) for i, t in enumerate(titles)]
+    rows.append(("p", "Sail making begins with the cloth.", "a/b/p.md", {"title": "[DATE goes here]"}))
+    df = spark.createDataFrame(rows, CHUNK)
+    got = {r["doc_id"]: r["kind"] for r in residue.residue(df).collect()}
+    assert got == {f"n{i}": "error_page" for i in range(5)} | {"p": "placeholder"}
+    counts = {r["evidence"]: r["n_decided"] for r in residue.evidence(df).collect()}
+    assert counts["duplicates"] == 5 and counts["mismatch"] == 5 and counts["detectors"] == 1
 
 
 @pytest.mark.parametrize("text", ["Dear {{name}}, hello", "By ${author}.", "[INSERT TITLE HERE]", "更新于【此处填写日期】，", "Last changed on [object Object].", "%(count)s hits", "亲爱的undefined，您好", "更新于__USER_NAME__，如", "本节由{user.name}整理", "%(item.label)s"])
