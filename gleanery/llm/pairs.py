@@ -1,9 +1,10 @@
 """Broken prompt and response pairs.
 
 A response is cut into clauses. A linear-chain conditional random field tags each clause as answer,
-refusal, echo of the question, foreign (another language than the question), unfinished, courtesy or
-error text; the share of the response each tag covers gives the pair's defect. The field is trained
-here on the labelled clauses below (a fixed set of about 120 sequences, no table data), in a second.
+refusal, echo of the question, foreign (another language than the question), unfinished, courtesy,
+error text or empty; the share of the response each tag covers, and for truncation the tag of its last
+clause, give the pair's defect. The field is trained here on the labelled clauses below (a fixed set of
+about 300 sequences, no table data), in seconds.
 
 Clauses are split and described with Arrow's vectorised string kernels, a whole batch at a time, and
 all sequences of a batch are decoded together.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from gleanery.llm.crf import LinearChain
 from gleanery.runtime import once, spread
 
-LABELS = ("answer", "refusal", "echo", "foreign", "unfinished", "courtesy", "error")
-ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, COURTESY, ERROR = range(len(LABELS))
+LABELS = ("answer", "refusal", "echo", "foreign", "unfinished", "courtesy", "error", "empty")
+ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, COURTESY, ERROR, EMPTY = range(len(LABELS))
 
 #: Words for "no value", and wrappers that may stand around a copied question or an error.
 NO_VALUE = frozenset("none null nil nan na n/a undefined empty 无 暂无 空 没有 无内容 no answer keine ninguno".split() + ["no answer", "（无）"])
@@ -43,7 +44,7 @@ _ERROR_WRAPPERS = ("error", "错误", "系统提示", "系统错误", "提示",
 # RE2 patterns (Arrow kernels): character classes by script, no look-around.
 _INVISIBLE = "[​-‏⁠﻿­]"
 _FENCE = r"(?s)```.*?(?:```|$)"
-_QUOTED = "“[^”\n]{0,300}”|\"[^\"\n]{0,300}\"|「[^」\n]{0,300}」|『[^』\n]{0,300}』|`[^`\n]{0,200}`|《[^》\n]{0,200}》"
+_QUOTED = "“[^”\n]*”|\"[^\"\n]*\"|「[^」\n]*」|『[^』\n]*』|`[^`\n]*`|《[^》\n]*》"
 _SPLIT = r"[。！？!?\n]+|\.(?:\s+|$)|…+"
 _DECLINE = (
     r"(?i)\bI (?:can ?not|can't|could not|am unable|am not able|would rather not|won't|will not|must decline|do not|don't) (?:to )?(?:help|answer|respond|say|tell|provide|assist|know|have|comment|discuss|continue|comply|give)"
@@ -62,7 +63,7 @@ _DE = r"(?i)\b(?:der|die|das|und|ist|nicht|den|dem|des|ein|eine|sich|mit|auf|zu|
 _ES = r"(?i)\b(?:el|la|los|las|que|de|del|se|una?|con|por|para|no|es|al|lo|luego|como|sobre|todo|cuando|después|esto|y|en)\b"
 _ASKS_LANGUAGE = re.compile(r"(?:用|以|翻译成|译成|译为)\s*(?:中文|英文|英语|德语|德文|西班牙语|西语|汉语|日语|法语)|\b(?:answer|reply|respond|write|translate\w*)\b.{0,30}\b(?:in|into) (?:chinese|english|german|spanish|french|japanese)|auf (?:deutsch|englisch|chinesisch|spanisch)|en (?:inglés|español|chino|alemán)", re.I)
 
-FEATURES = ("bias", "decline", "hedge", "about", "sorry", "closing", "echo", "other_script", "other_words", "no_end", "error", "short", "after_decline", "wrapper", "first", "last")
+FEATURES = ("bias", "decline", "hedge", "about", "sorry", "closing", "echo", "other_script", "other_words", "open_fence", "error", "short", "after_decline", "wrapper", "first", "last", "open_row", "open_item", "open_sentence", "no_value", "closed")
 
 
 def plain(text: str | None) -> str:
@@ -102,19 +103,26 @@ def _language_of(evidence: np.ndarray) -> np.ndarray:
 
 
 class Clauses:
-    """A batch's responses cut into clauses, with the feature matrix of all of them."""
+    """A batch's responses cut into clauses, with the feature matrix of all of them.
 
-    def __init__(self, questions: list[str | None], responses: list[str | None], errors: list[str | None], unfinished: np.ndarray):
+    ``endings`` holds for each response how it ends (see ``ending``). A response without any clause, as one
+    that is blank or all code, has one clause without text.
+    """
+
+    def __init__(self, questions: list[str | None], responses: list[str | None], errors: list[str | None], endings: np.ndarray):
         answer = pa.array([r or "" for r in responses], pa.string())
-        answer = pc.replace_substring_regex(answer, _INVISIBLE, "")
+        answer = pc.replace_substring_regex(answer, "(?s)<[^<>]{0,40}>|" + _INVISIBLE, "")
         self.prose = pc.replace_substring_regex(answer, _FENCE, "\n")
         split = pc.split_pattern_regex(self.prose, _SPLIT)
         flat = pc.utf8_trim(split.flatten(), " \t\r\n*_#>|-~•（）()　")
         row = np.repeat(np.arange(len(responses)), np.diff(split.offsets.to_numpy()))
         sizes = pc.utf8_length(flat).to_numpy(zero_copy_only=False)
         keep = sizes > 0
+        # The first part of a response (an empty string at least) stays where no other does.
+        bare = np.bincount(row[keep], minlength=len(responses)) == 0
+        keep[split.offsets.to_numpy()[:-1][bare]] = True
         self.text = flat.filter(pa.array(keep))
-        self.row, self.size = row[keep], sizes[keep].astype(np.int64)
+        self.row, self.size = row[keep], np.maximum(sizes[keep], 1).astype(np.int64)
         self.lengths = np.bincount(self.row, minlength=len(responses))
         n = len(self.row)
         x = np.zeros((n, len(FEATURES)))
@@ -133,17 +141,20 @@ class Clauses:
         words = self.text.to_pylist()
         asked = [_plain_fast(q or "") for q in questions]
         failed = [_plain_fast(e or "") for e in errors]
-        echo, wrong, wrap = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        echo, wrong, wrap, none = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
         at = self.row.tolist()
         for i, (w, r) in enumerate(zip(words, at, strict=True)):
             q, e = asked[r], failed[r]
             p = _plain_fast(w)
             if q and (p in q or _unwrapped(p, q, _WRAPPERS_PLAIN)):
-                echo[i] = bool(p)
-            if e and (p in e or _unwrapped(p, e, _ERRORS_PLAIN)):
-                wrong[i] = bool(p)
+                echo[i] = p not in _NO_VALUE_PLAIN
+            if e and p and (p in e or _unwrapped(p, e, _ERRORS_PLAIN)):
+                wrong[i] = True
             wrap[i] = p in _WRAPPERS_PLAIN or p in _ERRORS_PLAIN
-        x[:, 6], x[:, 10], x[:, 13] = echo, wrong, wrap
+            none[i] = p in _NO_VALUE_PLAIN
+        # A response that is all code has nothing to read in its prose, but is not empty.
+        coded = _matches(answer, _READABLE)[self.row] & bare[self.row]
+        x[:, 6], x[:, 10], x[:, 13], x[:, 19] = echo, wrong, wrap, none & ~coded
         said = _script_words(unquoted)
         want = _language_of(_script_words(pc.replace_substring_regex(pa.array([q or "" for q in questions], pa.string()), _QUOTED, " ")))[self.row]
         tongue = _language_of(said)
@@ -151,7 +162,8 @@ class Clauses:
         x[:, 7] = differs & ((want == 0) | (tongue == 0))
         evidence = np.take_along_axis(said[:, 1:4], np.clip(tongue - 1, 0, 2)[:, None], 1)[:, 0]
         x[:, 8] = differs & (want > 0) & (tongue > 0) & (evidence >= 2)
-        x[:, 9] = last & unfinished[self.row]
+        for place, kind in ((9, OPEN_FENCE), (16, OPEN_ROW), (17, OPEN_ITEM), (18, OPEN_SENTENCE), (20, CLOSED)):
+            x[:, place] = last & (endings[self.row] == kind)
         x[:, 11] = self.size <= 6
         x[1:, 12] = x[:-1, 1] * ~first[1:]
         x[:, 14], x[:, 15] = first, last
@@ -170,11 +182,13 @@ def _unwrapped(text: str, core: str, wrappers: frozenset[str]) -> bool:
 
 
 _WRAPPERS_PLAIN = frozenset(plain(w) for w in _WRAPPERS)
+_NO_VALUE_PLAIN = frozenset(plain(w) for w in NO_VALUE) | {""}
+_READABLE = r"[\p{L}\p{N}]"
 _ERRORS_PLAIN = frozenset(plain(w) for w in _ERROR_WRAPPERS)
 
 
 # ---------------------------------------------------------------------------------------------------
-# Labelled training clauses. Letters: a answer, r refusal, e echo, f foreign, u unfinished, c courtesy, x error.
+# Labelled training clauses. Letters: a answer, r refusal, e echo, f foreign, u unfinished, c courtesy, x error, n empty.
 
 _ANSWERS = {
     0: ("索引在夜间重建", "这一步要先检查缓存", "两者的差别在于更新方式", "因此需要调低阈值", "测试显示召回率提高了百分之三", "它由三个部分组成", "先写入日志再通知用户"),
@@ -194,44 +208,75 @@ _NEAR_MISSES = (
 _ERRORS = ("TimeoutError: no reply after 300 ms", "向量服务没有响应", "HTTP 502 from gateway")
 
 
-def training_sequences() -> list[tuple[str, str, str, bool, str]]:
-    """(question, response, error, unfinished, labels): every combination of kinds that occurs in practice."""
+#: How a response ends: in order, or inside a code block, a table row, a list item or a sentence.
+CLOSED, OPEN_FENCE, OPEN_ROW, OPEN_ITEM, OPEN_SENTENCE = range(5)
+_BLANKS = ("", "N/A", "无", "None", "null", "暂无", "**", "<p></p>", "no answer")
+
+
+def training_sequences() -> list[tuple[str, str, str, int, str]]:
+    """(question, response, error, ending, labels): every combination of kinds that occurs in practice."""
     out = []
     for code, answers in _ANSWERS.items():
         q = _QUESTIONS[code]
         dot = "。" if code == 0 else ". "
-        other = [a for c, group in _ANSWERS.items() if c != code for a in group]
         for i, a in enumerate(answers):
             b = answers[(i + 1) % len(answers)]
-            out.append((q, f"{a}{dot}{b}{dot}", "", False, "aa"))
-            out.append((q, f"{q}\n{a}{dot}{b}{dot}", "", False, "eaa"))
-            out.append((q, f"{a}{dot}{b[: len(b) // 2]}", "", True, "au"))
-            out.append((q, f"{other[i % len(other)]}{dot}{other[(i + 1) % len(other)]}{dot}", "", False, "ff"))
-            out.append((q, f"{other[(i + 2) % len(other)]}{dot}", "", False, "f"))
-            out.append((q, f"{a}{dot}", _ERRORS[i % len(_ERRORS)], False, "a"))
-        out.append((q, q, "", False, "e"))
-        out.append((q, f"{q}{q}", "", False, "ee" if code in (0, 1) else "ee"))
+            out.append((q, f"{a}{dot}{b}{dot}", "", CLOSED, "aa"))
+            out.append((q, f"{q}\n{a}{dot}{b}{dot}", "", CLOSED, "eaa"))
+            out.append((q, f"{a}{dot}{b[: len(b) // 2]}", "", OPEN_SENTENCE, "au"))
+            out.append((q, b[: len(b) // 2], "", OPEN_SENTENCE, "u"))
+            # The end of a preview tells nothing.
+            out.append((q, f"{a}{dot}{b[: 1 + i % 5]}", "", CLOSED, "aa"))
+            out.append((q, f"{a}{dot}\n{b[: 1 + i % 5]}", "", (OPEN_ITEM, OPEN_SENTENCE, OPEN_ROW)[i % 3], "au"))
+            out.append((q, f"{a}{dot}\n3", "", OPEN_ITEM, "au"))
+            out.append((q, f"{a}{dot}\n{b[: len(b) // 2]}", "", (OPEN_FENCE, OPEN_ROW, OPEN_ITEM)[i % 3], "au"))
+            out.append((q, f"{a}{dot}", _ERRORS[i % len(_ERRORS)], CLOSED, "a"))
+        # Each other language, the near and the far ones alike.
+        for c, group in _ANSWERS.items():
+            if c != code:
+                end = "。" if c == 0 else ". "
+                for i, a in enumerate(group):
+                    out.append((q, f"{a}{end}{group[(i + 1) % len(group)]}{end}", "", CLOSED, "ff"))
+                    out.append((q, f"{a}{end}", "", CLOSED, "f"))
+                    out.append((q, f"{a}{end}[1][3]", "", CLOSED, "fa"))
+                    out.append((q, f"{a}{end}\n| 8 | 5 |", "", CLOSED, "fa"))
+                    out.append((q, f"{a}{end}{group[(i + 1) % len(group)][:-4]}", "", (OPEN_SENTENCE, OPEN_FENCE)[i % 2], "fu"))
+        out.append((q, q, "", CLOSED, "e"))
+        out.append((q, q[:-1], "", OPEN_SENTENCE, "e"))
+        out.append((q, f"{'请回答' if code == 0 else 'Question'}: {q[:-1]}", "", OPEN_SENTENCE, "e"))
+        out.append((q, f"{q}{q}", "", CLOSED, "ee"))
+        out.append((q, f"{q} {q} {q}", "", CLOSED, "eee"))
+        out.append((q[:7] + q[-1], f"{q[:7]}{q[-1]} " * 3, "", CLOSED, "eee"))
+        out.append((q[:5] + q[-1], f"{q[:5]}{q[-1]}", "", CLOSED, "e"))
+        out.append((q, f"{answers[0]}{dot}\n无\n{answers[1]}{dot}", "", CLOSED, "ana"))
+        for blank in _BLANKS:
+            out.append((q, blank, "", CLOSED, "n"))
+        out.append((q, "```python\nprint(1)\n```", "", CLOSED, "a"))
+        out.append((q, "```python\nprint(1", "", OPEN_FENCE, "u"))
     for i, r in enumerate(_REFUSALS):
         code = 0 if r[0] > "z" else 1
         dot = "。" if code == 0 else ". "
         q, c = _QUESTIONS[code if i % 4 else 1 - code], _COURTESIES[i % len(_COURTESIES)]
-        out.append((q, f"{r}{dot}", "", False, "r"))
-        out.append((q, f"{r}{dot}{c}{dot}", "", False, "rc"))
-        out.append((q, f"{_REFUSALS[(i + 3) % len(_REFUSALS)]}{dot}{r}{dot}", "", False, "rr"))
+        out.append((q, f"{r}{dot}", "", CLOSED, "r"))
+        out.append((q, f"{r}{dot}{c}{dot}", "", CLOSED, "rc"))
+        out.append((q, f"{_REFUSALS[(i + 3) % len(_REFUSALS)]}{dot}{r}{dot}", "", CLOSED, "rr"))
     for i, m in enumerate(_NEAR_MISSES):
         code = 0 if m[0] > "z" else 1
         dot = "。" if code == 0 else ". "
         a = _ANSWERS[code][i % 6]
-        out.append((_QUESTIONS[code], f"{m}{dot}{a}{dot}", "", False, "aa"))
-        out.append((_QUESTIONS[code], f"{a}{dot}{m}{dot}", "", False, "aa"))
+        out.append((_QUESTIONS[code], f"{m}{dot}{a}{dot}", "", CLOSED, "aa"))
+        out.append((_QUESTIONS[code], f"{a}{dot}{m}{dot}", "", CLOSED, "aa"))
     for i, c in enumerate(_COURTESIES):
         code = 0 if c[0] > "z" else 1
         dot = "。" if code == 0 else ". "
-        out.append((_QUESTIONS[code], f"{c}{dot}{_ANSWERS[code][i % 6]}{dot}", "", False, "ca"))
-        out.append((_QUESTIONS[code], f"{_ANSWERS[code][i % 6]}{dot}{c}{dot}", "", False, "ac"))
+        out.append((_QUESTIONS[code], f"{c}{dot}{_ANSWERS[code][i % 6]}{dot}", "", CLOSED, "ca"))
+        out.append((_QUESTIONS[code], f"{_ANSWERS[code][i % 6]}{dot}{c}{dot}", "", CLOSED, "ac"))
     for e in _ERRORS:
-        out.append((_QUESTIONS[0], e, e, False, "x"))
-        out.append((_QUESTIONS[1], f"错误：{e}", e, False, "x"))
+        for q in _QUESTIONS.values():
+            out.append((q, e, e, CLOSED, "x"))
+            out.append((q, f"错误：{e}", e, CLOSED, "x"))
+            out.append((q, f"[ERROR] {e}。", e, CLOSED, "x"))
+            out.append((q, e, e, OPEN_SENTENCE, "x"))
     return out
 
 
@@ -239,9 +284,9 @@ def training_sequences() -> list[tuple[str, str, str, bool, str]]:
 def clause_field() -> LinearChain:
     """The trained field; fitting the labelled clauses takes a second and always gives the same weights."""
     sequences = training_sequences()
-    batch = Clauses([s[0] for s in sequences], [s[1] for s in sequences], [s[2] for s in sequences], np.array([s[3] for s in sequences]))
+    batch = Clauses([s[0] for s in sequences], [s[1] for s in sequences], [s[2] for s in sequences], np.array([s[3] for s in sequences], np.int64))
     xs, ys, at = [], [], 0
-    letters = {"a": ANSWER, "r": REFUSAL, "e": ECHO, "f": FOREIGN, "u": UNFINISHED, "c": COURTESY, "x": ERROR}
+    letters = {"a": ANSWER, "r": REFUSAL, "e": ECHO, "f": FOREIGN, "u": UNFINISHED, "c": COURTESY, "x": ERROR, "n": EMPTY}
     for s, length in zip(sequences, batch.lengths, strict=True):
         if length == len(s[4]):
             xs.append(batch.features[at : at + length])
@@ -283,44 +328,40 @@ _DONE = re.compile(r"(?:[。！？!?.…]|[。！？!?.…][”’\"'）)】\]*_
 _TRAIL = re.compile(r"[\s\U0001F300-\U0001FAFF☀-➿️]+$")
 
 
-def stops_short(text: str | None, final: np.ndarray | None = None, anywhere: np.ndarray | None = None) -> bool:
-    """The response ends inside a sentence, list item, table row or code block."""
+def ending(text: str | None, final: np.ndarray | None = None, anywhere: np.ndarray | None = None) -> int:
+    """How the response ends: CLOSED, or open inside a code block, table row, list item or sentence."""
     body = re.sub(_INVISIBLE, "", text or "")
     if body.count("```") % 2:
-        return True
+        return OPEN_FENCE
     bare = body.rstrip()
     done = _TRAIL.sub("", bare)
-    if not done:
-        return False
-    if done.endswith("```"):
-        return False
+    if not done or done.endswith("```"):
+        return CLOSED
     emoji = done != bare
     lines = [x for x in done.split("\n") if x.strip()]
     line = lines[-1]
     if line.lstrip().startswith("|"):
         head = next((x for x in lines if x.lstrip().startswith("|")), line)
-        return not line.rstrip().endswith("|") or line.count("|") != head.count("|") or bool(re.fullmatch(r"[\s|:\-]+", line))
+        return OPEN_ROW if not line.rstrip().endswith("|") or line.count("|") != head.count("|") or re.fullmatch(r"[\s|:\-]+", line) else CLOSED
     if emoji:
-        return False
+        return CLOSED
     item = _ITEM.match(line)
-    if item:
-        rest = line[item.end() :].strip()
-        if not rest:
-            return True
-        if _DONE.search(rest):
-            return bool(re.search(r"[，、：；,:;（(“「]$", rest))
-        before = [x[m.end() :].strip() for x in lines[:-1] if (m := _ITEM.match(x))]
-        if before and sum(bool(_DONE.search(x)) for x in before) > 0.5 * len(before):
-            return True
-        if re.search(r"[，、：；,:;（(“「\-]$", rest):
-            return True
-        token = _last_token(rest)
-        if token is None or final is None:
-            return False
-        seen, ends = int(anywhere[_slot(token)]), int(final[_slot(token)])
-        # A word that hardly ever ends an item or sentence anywhere else: the item was cut.
-        return ends < max(2, 0.02 * seen)
-    return not _DONE.search(line)
+    if not item:
+        return CLOSED if _DONE.search(line) else OPEN_SENTENCE
+    rest = line[item.end() :].strip()
+    if not rest or re.search(r"[，、：；,:;（(“「]$", rest):
+        return OPEN_ITEM
+    if _DONE.search(rest):
+        return CLOSED
+    before = [x[m.end() :].strip() for x in lines[:-1] if (m := _ITEM.match(x))]
+    if rest.endswith("-") or (before and sum(bool(_DONE.search(x)) for x in before) > 0.5 * len(before)):
+        return OPEN_ITEM
+    token = _last_token(rest)
+    if token is None or final is None:
+        return CLOSED
+    # A word that hardly ever ends an item or sentence anywhere else: the item was cut.
+    seen, ends = int(anywhere[_slot(token)]), int(final[_slot(token)])
+    return OPEN_ITEM if ends < max(2, 0.02 * seen) else CLOSED
 
 
 _ENDS = "block int, final_counts binary, all_counts binary"
@@ -373,21 +414,20 @@ def ending_tables(responses: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------------------------------------------
 
-_READABLE = r"[\p{L}\p{N}]"
-#: Blanks and marks that may stand around a word for "no value".
-_MARKS = r"[\s\p{Z}*_`'\".。!！?？（）()\[\]【】\-—]+"
 _FOUND = "table_name string, pair_id long, defect string"
 
 
 def classify(questions: list, responses: list, errors: list, whole: np.ndarray, field: LinearChain, ends=(None, None)) -> list[str | None]:
     """Defect of each pair of a batch; ``whole`` is False for previews, whose cut end is no defect."""
-    unfinished = np.array([bool(w) and stops_short(r, *ends) for r, w in zip(responses, whole, strict=True)], bool)
-    clauses = Clauses(questions, responses, errors, unfinished)
+    endings = np.array([ending(r, *ends) if w else CLOSED for r, w in zip(responses, whole, strict=True)], np.int64)
+    clauses = Clauses(questions, responses, errors, endings)
     tags = clauses.tags(field)
     n = len(responses)
     cover = np.zeros((n, len(LABELS)))
+    cut = np.zeros(n, bool)
     if len(tags):
         np.add.at(cover, (clauses.row, tags), clauses.size)
+        cut = tags[np.cumsum(clauses.lengths) - 1] == UNFINISHED
     foreign_marks = np.zeros(n)
     native_marks = np.zeros(n)
     if len(tags):
@@ -397,13 +437,10 @@ def classify(questions: list, responses: list, errors: list, whole: np.ndarray,
         own = ~other & (clauses.size > 6)
         np.add.at(native_marks, clauses.row[own], clauses.size[own])
     total = np.maximum(cover.sum(1), 1)
-    stripped = pc.replace_substring_regex(pa.array([r or "" for r in responses], pa.string()), "(?s)<[^<>]{0,40}>|" + _INVISIBLE, "")
-    readable = _matches(stripped, _READABLE)
-    short = pc.utf8_length(pc.replace_substring_regex(stripped, _MARKS, "")).to_numpy(zero_copy_only=False) <= 12
     out: list[str | None] = []
     for i in range(n):
         c = cover[i] / total[i]
-        if responses[i] is None or not readable[i] or (short[i] and _is_no_value(responses[i])):
+        if c[EMPTY] >= 0.9:
             out.append("empty")
         elif c[ERROR] >= 0.7 and c[ANSWER] + c[FOREIGN] <= 0.1:
             out.append("error_text")
@@ -413,18 +450,13 @@ def classify(questions: list, responses: list, errors: list, whole: np.ndarray,
             out.append("refusal")
         elif c[FOREIGN] >= 0.6 and foreign_marks[i] >= 0.6 * (foreign_marks[i] + native_marks[i]) and not (questions[i] and _ASKS_LANGUAGE.search(questions[i])):
             out.append("other_language")
-        elif unfinished[i]:
+        elif whole[i] and cut[i]:
             out.append("truncated")
         else:
             out.append(None)
     return out
 
 
-def _is_no_value(text: str) -> bool:
-    bare = re.sub(r"<[^<>]{0,40}>|[\s*_`'\".。!！?？（）()\[\]【】\-—]+", "", re.sub(_INVISIBLE, "", text)).lower()
-    return bare in NO_VALUE or bare in ("n/a", "")
-
-
 def _tag_pairs(field: LinearChain, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = tables.value if tables is not None else (None, None)

@@ -255,7 +255,7 @@ def test_chain_decode_equals_exhaustive_search():
 def test_clause_field_on_held_out_clauses():
     """Accuracy on clauses whose sequences were kept out of training."""
     rows = pairs.training_sequences()
-    letters = "arefucx"
+    letters = "arefucxn"
 
     def prepare(part):
         batch = pairs.Clauses([s[0] for s in part], [s[1] for s in part], [s[2] for s in part], np.array([s[3] for s in part]))
@@ -274,6 +274,27 @@ def test_clause_field_on_held_out_clauses():
     assert (tags == np.concatenate(held_y)).mean() >= 0.95
 
 
+@pytest.mark.parametrize(
+    ("question", "response", "defect"),
+    [
+        ("Why is the cache cleared?", "Nach 3 Tagen wurde der Bericht mit dem Profil verglichen. Das bedeutet, dass der Wert allein keine Erklärung ist.", "other_language"),
+        ("Why is the cache cleared?", "El plan depende sobre todo del tiempo y no al revés. Conviene revisar primero el registro y luego el plan.", "other_language"),
+        ("Warum wird der Speicher geleert und nicht erweitert?", "The store is cleared when it is full, and it is not extended.", "other_language"),
+        ("Why is the cache cleared?", "The cache is cleared when it is full. The steps are:\n1. The first is to stop the writer.\n2.", "truncated"),
+        ("Why is the cache cleared?", "The cache is cleared so that\n```python\nfor hit in", "truncated"),
+        ("Why is the cache cleared?", "The cache is cleared.\n\n| a | b |\n|---|---|\n| 1 ", "truncated"),
+        ("Why is the cache cleared?", "The cache is cleared when it is full", "truncated"),
+        ("Why is the cache cleared?", "```python\nclear()\n```", None),
+        ("Why is the cache cleared?", "Why is the cache cleared", "copy"),
+        ("Why is the cache cleared?", "<p></p>", "empty"),
+        ("Why is the cache cleared?", "---\n**N/A**\n", "empty"),
+        ("Why is the cache cleared?", "He said “" + "this is a very long quotation of the source text " * 12 + "” and the cache is cleared.", None),
+    ],
+)
+def test_tags_decide(question, response, defect):
+    assert pairs.classify([question], [response], [None], np.array([True]), pairs.clause_field()) == [defect]
+
+
 def test_broken_pairs_of_tables(spark):
     ev = spark.createDataFrame([(1, "什么是索引？", "无"), (1, "什么是索引？", "无"), (2, None, None)], "result_id long, query string, response string")
     rp = spark.createDataFrame([(1, "What is it?", "It is the index of the store and it is kept", None)], "report_id long, question string, answer_preview string, error string")
