@@ -3,8 +3,8 @@
 Each text gives a row of statistics (words, mean word length, shares of symbols, of lines with closing
 punctuation, of common words, of list and table lines, of odd characters, of repeats, ...). Statistics
 are gathered per language in mergeable quantile sketches; every value then becomes a robust z-score
-against the median and the interquartile range of its language, and texts in a tail are flagged.
-What kind a flagged text is follows from which tail: list lines, table lines or junk.
+against the median and the half spreads of its language, and texts in a tail are flagged.
+What kind a flagged text is follows from which tail and a check that what shows there is most of the text.
 
 How usual a text's character pairs are is a statistic too; it is taken against the pairs of the whole
 corpus, counted per language in a fixed-size table.
@@ -23,6 +23,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ _SPELLINGS = {"zh": "zh", "cn": "zh", "chinese": "zh", "中文": "zh", "en": "en
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CJK = re.compile(r"[㐀-鿿]")
+_LATIN = re.compile(r"[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)?")
+_MOJIBAKE = re.compile(r"[À-ÿ][-¿ŒœŠšŽžŸƒˆ˜–-—‘-„†-•…‰‹›€™]")
 _CLOSING = ".!?。！？…:：;；\"”’」』)）"
 _BULLET = re.compile(r"^\s*(?:[-*•·▪◦‣●○–]\s+|[-*•·▪◦‣●○]|\[[ xX✓]?\]\s*|[（(]?(?:\d{1,3}|[a-zA-Z]|[一二三四五六七八九十]{1,3}|[ivxIVX]{1,4})[)）.、．]\s*)(?=\S)")
 _LEADER = re.compile(r"(?:\.\s?){4,}\s*\d*\s*$|…{2,}\s*\d*\s*$|\s{3,}\d{1,4}\s*$|(?:·\s?){4,}\s*\d*\s*$")
@@ -60,17 +63,46 @@ _MIXED = re.compile(r"[^\W\d_][^\w\s'’\-.·/@:（）()，。、：；]+[^\W\d_
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 
 
-def language(text: str, said: str | None) -> str:
+#: Classes of characters, one byte for each code of the basic plane; the rest are looked up singly.
+LETTER, DIGIT, ODD, HAN, COMMON_HAN = 1, 2, 4, 8, 16
+
+
+def _classes(code: int) -> int:
+    kind = unicodedata.category(chr(code))
+    han = 0x3400 <= code <= 0x9FFF
+    marks = LETTER * (kind[0] in "LM") + DIGIT * (kind[0] == "N") + ODD * (kind in ("Cc", "Co", "Cn") or code == 0xFFFD)
+    return marks + HAN * han + COMMON_HAN * (han and chr(code) in COMMON["zh"])
+
+
+@lru_cache(maxsize=1)
+def _plane() -> np.ndarray:
+    return np.fromiter(map(_classes, range(0x10000)), np.uint8, 0x10000)
+
+
+class Characters:
+    """What the characters of a text are, counted without looking at them one by one."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        marks = _plane()[np.minimum(codes, 0xFFFF)]
+        beyond = np.flatnonzero(codes > 0xFFFF)
+        if len(beyond):
+            marks[beyond] = [_classes(c) for c in codes[beyond].tolist()]
+        self.counts = np.bincount(marks, minlength=32)
+        self.marks = np.arange(len(self.counts))
+
+    def of(self, mark: int) -> int:
+        return int(self.counts[self.marks & mark > 0].sum())
+
+
+def language(lowered: str, words: list[str], letters: int, han: int, said: str | None) -> str:
     """Language from script and function words; what is said only breaks a draw."""
-    letters = re.findall(r"[^\W\d_]", text) if text else []
     said = _SPELLINGS.get((said or "").strip().lower().split("-")[0].split("_")[0], "other")
-    if len(letters) < 3:
+    if letters < 3:
         return said
-    cjk = sum(1 for c in letters if "㐀" <= c <= "鿿")
-    if cjk >= 0.2 * len(letters):
+    if han >= 0.2 * letters:
         return "zh"
-    words = [w.lower() for w in _WORD.findall(text)]
-    hits = {code: sum(w in COMMON[code] for w in words) for code in ("en", "de", "es")}
+    hits = {code: sum(map(COMMON[code].__contains__, words)) for code in ("en", "de", "es")}
     best = max(hits, key=lambda c: (hits[c], c == said))
     return best if hits[best] >= max(2, 0.05 * len(words)) else said
 
@@ -205,7 +237,7 @@ def _repeated(codes: np.ndarray, solid: np.ndarray, period: int) -> float:
 
 def _repeats(text: str) -> float:
     """Share of the text that repeats one phrase of any length, wherever the repetition starts."""
-    body = re.sub(r"\s+", "", text)
+    body = "".join(text.split())
     if len(body) < 40:
         return 0.0
     codes = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -215,15 +247,18 @@ def _repeats(text: str) -> float:
         solid = np.fromiter(map(str.isalnum, body), bool, len(body))
         best = max(_repeated(codes, solid, p) for p in periods)
     # The same phrase between other words: parts between any marks, and whole sentences with the marks inside.
-    for ends in (r"[，。！？,.!?;；\n]+", r"[。！？.!?\n]+"):
-        units = [u.strip() for u in re.split(ends, text) if u.strip()]
-        if len(units) >= 6:
-            top, times = Counter(units).most_common(1)[0]
-            if times >= 5:
-                best = max(best, times * len(top) / max(sum(map(len, units)), 1))
+    for ends in (_PART_ENDS, _SENTENCE_ENDS):
+        units = [u for u in map(str.strip, ends.split(text)) if u]
+        if len(units) < 6:
+            break
+        top, times = Counter(units).most_common(1)[0]
+        if times < 5:
+            break  # a sentence that comes five times has parts that do
+        best = max(best, times * len(top) / max(sum(map(len, units)), 1))
     return best
 
 
+_PART_ENDS, _SENTENCE_ENDS = re.compile(r"[，。！？,.!?;；\n]+"), re.compile(r"[。！？.!?\n]+")
 STATS = ("n_chars", "n_words", "mean_word", "symbol_share", "closed_lines", "common_share", "list_share", "table_share", "odd_share", "repeat_share", "digit_share", "vowel_gap", "mixed_words", "type_ratio", "hex_share", "pair_gain")
 
 
@@ -233,8 +268,8 @@ _HAN_RUNS = re.compile(r"[㐀-鿿]{2,}")
 
 
 def _pairs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of first and second character and of the pair, for neighbouring Han characters (blanks taken out)."""
-    joined = " ".join(_HAN_RUNS.findall(re.sub(r"\s+", "", text)))
+    """Slots of first and second character and of the pair, for neighbouring Han characters (of a text without blanks)."""
+    joined = " ".join(_HAN_RUNS.findall(text))
     c = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     a, b = c[:-1], c[1:]
     keep = (a > 32) & (b > 32)
@@ -242,52 +277,58 @@ def _pairs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a % SLOTS, b % SLOTS, (a * 40503 + b) % SLOTS
 
 
-def pair_gain(text: str, singles: np.ndarray, pairs: np.ndarray) -> float:
-    """Mean bits by which the text's Han pairs are more usual in the corpus than chance; NaN under 20 pairs."""
-    a, b, p = _pairs(text)
-    if len(p) < 20:
-        return math.nan
-    total = float(max(pairs.sum(), 1))
-    joint = (pairs[p] + 0.05) / total
-    alone = lambda c: (singles[c] + 0.5) / total
-    return float(np.mean(np.log2(joint / (alone(a) * alone(b)))))
+class PairTable:
+    """Counts of Han characters and their pairs over the corpus."""
+
+    def __init__(self, singles: np.ndarray, pairs: np.ndarray):
+        total = float(max(pairs.sum(), 1))
+        self.alone = np.log2((singles + 0.5) / total).astype(np.float32)
+        self.joint = np.log2((pairs + 0.05) / total).astype(np.float32)
+
+    def gain(self, text: str) -> float:
+        """Mean bits by which the text's Han pairs are more usual in the corpus than chance; NaN under 20 pairs."""
+        a, b, p = _pairs(text)
+        if len(p) < 20:
+            return math.nan
+        return float((self.joint[p] - self.alone[a] - self.alone[b]).mean(dtype=np.float64))
 
 
-def statistics(text: str, lang: str, singles: np.ndarray, pairs: np.ndarray) -> list[float]:
-    """The STATS of one text; shares are of visible characters, words or non-blank lines."""
+def statistics(text: str, said: str | None, table: PairTable) -> tuple[str, list[float]]:
+    """Language and the STATS of one text; shares are of visible characters, words or non-blank lines."""
+    n_chars = float(len(text))
     text = unicodedata.normalize("NFKC", text.replace("…", "\x85")).replace("\x85", "…") if "�" not in text else text
-    visible = re.sub(r"\s+", "", text)
+    visible = "".join(text.split())
     n = len(visible)
+    found = Characters(visible)
+    letters, han = found.of(LETTER), found.of(HAN)
+    lowered = text.lower()
+    latin = _LATIN.findall(lowered)
+    lang = language(lowered, latin, letters, han, said)
     if not n:
-        return [float(len(text))] + [0.0] * (len(STATS) - 1)
-    latin = [w for w in _WORD.findall(text) if not _CJK.search(w)]
-    han = _CJK.findall(text)
-    words = len(latin) + len(han)
+        return lang, [n_chars] + [0.0] * (len(STATS) - 1)
+    words = len(latin) + han
     if lang == "zh":
-        common = (sum(c in COMMON["zh"] for c in han) + sum(w.lower() in COMMON["en"] for w in latin)) / max(words, 1)
+        common = (found.of(COMMON_HAN) + sum(map(COMMON["en"].__contains__, latin))) / max(words, 1)
     else:
-        common = sum(w.lower() in COMMON.get(lang, COMMON["en"]) for w in latin) / max(words, 1)
-    categories = Counter(map(unicodedata.category, visible))
-    letters = sum(v for k, v in categories.items() if k[0] in "LM")
-    digits = sum(v for k, v in categories.items() if k[0] == "N")
-    odd = categories["Cc"] + categories["Co"] + categories["Cn"] + visible.count("�")
-    odd += len(re.findall(r"[À-ÿ][-¿ŒœŠšŽžŸƒˆ˜–-—‘-„†-•…‰‹›€™]", visible)) * 2
+        common = sum(map(COMMON.get(lang, COMMON["en"]).__contains__, latin)) / max(words, 1)
+    digits = found.of(DIGIT)
+    odd = found.of(ODD) + 2 * len(_MOJIBAKE.findall(visible))
     lines = text.split("\n")
     kinds = _line_kinds(lines)
-    sizes = [len(re.sub(r"\s+", "", x)) for x in lines]
+    sizes = [len("".join(x.split())) for x in lines]
     listed = sum(s for s, k in zip(sizes, kinds, strict=True) if k in ("list", "entry")) / n
     entries = sum(k in ("list", "entry") for k in kinds)
     tabled = sum(s for s, k in zip(sizes, kinds, strict=True) if k == "table") / n
     filled = [x.rstrip() for x in lines if x.strip()]
     closed = sum(x.rstrip("🙂 ")[-1:] in _CLOSING for x in filled) / max(len(filled), 1)
     inline = _inline_list(text)
-    long_words = [w.lower() for w in latin if len(w) >= 4]
+    long_words = [w for w in latin if len(w) >= 4]
     hard = len(_HARD.findall(" ".join(long_words))) / max(len(long_words), 1)
     tokens = text.split()
     mixed = sum(map(bool, map(_MIXED.search, tokens))) / max(len(tokens), 1)
-    kinds_of_words = len({w.lower() for w in latin} | set(han)) / max(words, 1)
-    return [
-        float(len(text)),
+    han_kinds = len(_CJK.findall("".join(set(visible)))) if han else 0
+    return lang, [
+        n_chars,
         float(words),
         sum(map(len, latin)) / len(latin) if latin else 1.0 if han else 0.0,
         1 - (letters + digits) / n,
@@ -300,9 +341,9 @@ def statistics(text: str, lang: str, singles: np.ndarray, pairs: np.ndarray) ->
         digits / n,
         hard,
         mixed,
-        kinds_of_words,
+        (len(set(latin)) + han_kinds) / max(words, 1),
         sum(len(t) for t in tokens if len(t) in (2, 4, 8, 16) and _HEX.match(t)) / n,
-        pair_gain(text, singles, pairs),
+        table.gain(visible),
     ]
 
 
@@ -314,7 +355,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if text:
-                a, _, p = _pairs(text)
+                a, _, p = _pairs("".join(text.split()))
                 np.add.at(singles, a, 1)
                 np.add.at(pairs, p, 1)
     numbers, blocks, counts = [], [], []
@@ -348,13 +389,13 @@ def pair_tables(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _stat_rows(tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        singles, pairs = tables.value
+        table = tables.value
         for batch in batches:
             langs, values = [], []
             for text, said in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                text = text or ""
-                langs.append(language(text, said))
-                values.append(statistics(text, langs[-1], singles, pairs))
+                lang, row = statistics(text or "", said, table)
+                langs.append(lang)
+                values.append(row)
             columns = np.array(values, dtype=np.float64).reshape(-1, len(STATS)).T
             made = [pa.array(column, pa.float64(), from_pandas=True) for column in columns]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), *made], names=["doc_id", "lang", *STATS])
@@ -364,7 +405,7 @@ def _stat_rows(tables):
 
 def document_stats(documents: DataFrame) -> DataFrame:
     """``doc_id, lang`` (found from the text) and the STATS of every document; a narrow map over whole texts."""
-    tables = documents.sparkSession.sparkContext.broadcast(pair_tables(documents))
+    tables = documents.sparkSession.sparkContext.broadcast(PairTable(*pair_tables(documents)))
     schema = "doc_id long, lang string, " + ", ".join(f"{s} double" for s in STATS)
     return spread(documents.select("doc_id", "text", "lang")).mapInArrow(_stat_rows(tables), schema)
 
@@ -382,10 +423,11 @@ def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
 
 
 def language_norms(sketches: DataFrame) -> DataFrame:
-    """Median and spread (interquartile range / 1.349) of each statistic per language, blended with the whole corpus.
+    """Median and both half spreads of each statistic per language, blended with the whole corpus.
 
-    A language counts by its share of the texts, not their number, so a corpus of any size gives like norms;
-    the spread of a corpus of few texts is widened, as its quartiles say little.
+    ``_below`` is the spread of the half under the median and ``_above`` of the half over it (the distance of
+    the quartile / 0.6745). A language counts by its share of the texts, not their number, so a corpus of any
+    size gives like norms; the spread of a corpus of few texts is widened, as its quartiles say little.
     """
     whole = sketches.agg(*[F.kll_merge_agg_double(s).alias(f"{s}_all") for s in SCORED])
     columns = []
@@ -397,49 +439,64 @@ def language_norms(sketches: DataFrame) -> DataFrame:
             return F.when(n > 0, weight * value(s) + (1 - weight) * value(f"{s}_all")).when(total > 0, value(f"{s}_all"))
 
         q = lambda c, p: F.kll_sketch_get_quantile_double(c, F.lit(p))
-        spread_of = blended(lambda c: (q(c, 0.75) - q(c, 0.25)) / 1.349)
-        columns += [blended(lambda c: q(c, 0.5)).alias(f"{s}_mid"), (F.greatest(spread_of, F.lit(SPREAD.get(s, 0.01))) * F.sqrt(1 + F.try_divide(F.lit(float(FEW)), total))).alias(f"{s}_spread")]
+        wide = F.sqrt(1 + F.try_divide(F.lit(float(FEW)), total))
+        least = F.lit(SPREAD.get(s, 0.02))
+        below = F.greatest(blended(lambda c: (q(c, 0.5) - q(c, 0.25)) / 0.6745), least) * wide
+        above = F.greatest(blended(lambda c: (q(c, 0.75) - q(c, 0.5)) / 0.6745), least) * wide
+        columns += [blended(lambda c: q(c, 0.5)).alias(f"{s}_mid"), below.alias(f"{s}_below"), above.alias(f"{s}_above")]
     # One row of sketches of fixed size beside at most six of languages.
     return sketches.crossJoin(F.broadcast(whole)).select("lang", "n_docs", *columns)
 
 
 def scored(stats: DataFrame) -> DataFrame:
-    """STATS with a robust z-score ``<stat>_z`` for each scored one."""
+    """STATS with a robust z-score ``<stat>_z`` for each scored one.
+
+    What lies over the median is measured by the spread of the half under it, and the other way round, so
+    the texts of a tail never widen the measure they are judged by, though they be nearly half of a language.
+    """
     # Texts are read once: norms and scores both start from the few numbers written here.
     stats = cut_lineage(stats)
     # One row per language found by language(): at most six rows, so the broadcast is bounded.
     norms = F.broadcast(language_norms(language_sketches(stats)))
     joined = stats.join(norms, "lang")
-    return joined.select("doc_id", "lang", "n_docs", *STATS, *[((F.col(s) - F.col(f"{s}_mid")) / F.col(f"{s}_spread")).alias(f"{s}_z") for s in SCORED])
+    away = lambda s: F.col(s) - F.col(f"{s}_mid")
+    z = lambda s: F.when(away(s) >= 0, away(s) / F.col(f"{s}_below")).otherwise(away(s) / F.col(f"{s}_above"))
+    return joined.select("doc_id", "lang", "n_docs", *STATS, *[z(s).alias(f"{s}_z") for s in SCORED])
+
+
+#: Robust z-scores at which a statistic lies in the tail of its language: junk, tables and lists show in these.
+TAILS = {
+    "odd_share": 2.0, "repeat_share": 3.0, "hex_share": 3.0, "digit_share": 1.0, "symbol_share": 3.0,
+    "vowel_gap": 3.0, "mean_word": 6.0, "pair_gain": 8.0, "table_share": 3.0, "list_share": 3.0,
+}
 
 
 def non_prose(stats: DataFrame) -> DataFrame:
     """``doc_id, kind`` of the texts that are mostly junk, table or list.
 
-    What is broken, repeated, a list or a table for most of its characters is so whatever other texts are
-    like; where the evidence in the text is weaker, it must also lie in a tail of its language.
+    A text comes into question by a tail of its language; the check of its shares then says whether what
+    shows there makes up most of it.
     """
-    z = lambda s: F.coalesce(F.col(f"{s}_z"), F.lit(0.0))
+    rows = scored(stats).filter(F.col("n_chars") >= LEAST)
     c = F.col
+    in_tail = lambda s: F.coalesce(F.abs(c(f"{s}_z")) if s == "pair_gain" else c(f"{s}_z"), F.lit(0.0)) >= TAILS[s]
+    rows = rows.withColumns({f"{s}_tail": in_tail(s) for s in TAILS}).filter(F.greatest(*[c(f"{s}_tail") for s in TAILS]))
+    tail = lambda s: c(f"{s}_tail")
     structured = (c("table_share") >= 0.3) | (c("list_share") >= 0.5)
-    # Of texts without any language the middle is no measure: the absolute bounds decide.
-    unsure = c("lang") == "other"
-    tail = lambda s, bound: (z(s) >= bound) | unsure
-    broken = (c("odd_share") >= 0.05) | (c("repeat_share") >= 0.6) | ((c("hex_share") >= 0.5) & (tail("digit_share", 1) | (c("digit_share") >= 0.3)))
-    shuffled = (F.abs(z("pair_gain")) >= PAIR_TAIL) & ~unsure
-    noisy = (c("symbol_share") >= 0.45) | ((c("mixed_words") >= 0.4) & (c("symbol_share") >= 0.15) & (tail("symbol_share", 3) | (c("symbol_share") >= 0.3)))
-    strange = ((c("vowel_gap") >= 0.2) & (c("common_share") < 0.2)) | ((c("mean_word") > 15) & tail("mean_word", 6))
+    broken = (tail("odd_share") & (c("odd_share") >= 0.05)) | (tail("repeat_share") & (c("repeat_share") >= 0.6)) | (tail("hex_share") & tail("digit_share") & (c("hex_share") >= 0.5))
+    # Texts without any language have no usual pairs.
+    shuffled = tail("pair_gain") & (c("lang") != "other")
+    noisy = tail("symbol_share") & ((c("symbol_share") >= 0.45) | ((c("mixed_words") >= 0.4) & (c("symbol_share") >= 0.15)))
+    strange = (tail("vowel_gap") & (c("vowel_gap") >= 0.2) & (c("common_share") < 0.2)) | (tail("mean_word") & (c("mean_word") > 15))
     junk = broken | shuffled | (~structured & (noisy | strange))
-    table = c("table_share") >= 0.5
-    listed = c("list_share") >= 0.5
-    both = c("table_share") + c("list_share") >= 0.6
+    table = tail("table_share") & (c("table_share") >= 0.5)
+    listed = tail("list_share") & (c("list_share") >= 0.5)
+    both = (tail("table_share") | tail("list_share")) & (c("table_share") + c("list_share") >= 0.6)
     kind = F.when(junk, "junk").when(table, "table").when(listed, "list").when(both, F.when(c("table_share") > c("list_share"), "table").otherwise("list"))
-    return scored(stats).filter(c("n_chars") >= LEAST).select("doc_id", kind.alias("kind")).filter("kind is not null").distinct()
+    return rows.select("doc_id", kind.alias("kind")).filter("kind is not null").distinct()
 
 
 #: Share of the corpus a language has when its own norm counts as much as the corpus's.
 BLEND = 0.05
 #: Texts in a corpus by which its spreads widen by the root of two.
 FEW = 50
-#: Spreads by which Han pairs must be rarer or more peculiar than the language's median.
-PAIR_TAIL = 8.0

@@ -64,4 +64,14 @@ def test_long_copies_and_padded_words():
 
 
 def test_language_is_counted_over_the_whole_text():
-    assert textstats.language("the river and the house. " * 1000 + "缓存需要定期清理" * 2000, "en") == "zh"
+    table = textstats.PairTable(np.ones(textstats.SLOTS, np.int64), np.ones(textstats.SLOTS, np.int64))
+    assert textstats.statistics("the river and the house. " * 1000 + "缓存需要定期清理" * 2000, "en", table)[0] == "zh"
+
+
+def test_tails_hold_though_many_texts_share_a_defect(spark):
+    """Nearly half of a language is one phrase over and over: the other half still gives the norms."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 12), "en") for i in range(60)] + [(100 + i, f"again and again {i} " * 30, "en") for i in range(45)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r["doc_id"], r["kind"]) for r in textstats.non_prose(textstats.document_stats(docs)).collect()}
+    assert got == {(100 + i, "junk") for i in range(45)}
