@@ -4,11 +4,12 @@ The test passages form a BM25 inverted index over 8-character windows of the nor
 and digits after NFKC and lower-casing). Every training document is cut into overlapping passages, each
 passage is a query, and block-max WAND walks the posting lists of its windows: postings are skipped
 while the block maxima cannot reach the threshold. The threshold of an item is the smallest BM25 score
-that any run of ``RUN`` shared characters gives, so no leak can lie below it. What is retrieved
+that any run of ``RUN`` shared characters gives, so no leak can lie below it; the weights of an item are
+taken in units of its threshold, so that each is pruned by its own. What is retrieved
 is checked exactly for a shared run; overlap with the item's question and answer is reported.
 
 Test items are read in blocks of bounded size, each a broadcast index against all documents; documents
-are only scanned, never shuffled.
+are only scanned, never shuffled. Long passages are indexed as parts that overlap by a run less one.
 
 Defined results for odd input: items without an id, with a null passage or one under ``RUN`` letters and digits leak
 nothing; null, empty and short texts contain nothing; very long texts are queried whole, passage by
@@ -29,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.runtime import bounded_rows, spread
+from gleanery.runtime import bounded_rows, cut_lineage, spread
 
 RUN, WIDTH = 40, 8
 #: Query passages: any run of RUN characters lies whole in one of them.
 PASSAGE, STRIDE = 512, 512 - RUN + 1
-#: Items per broadcast index (a passage of 500 characters takes about 20 KB there); more items take more rounds.
-ITEM_BLOCK = 4000
+#: Characters of passages per broadcast index (about 100 MB there); more take more rounds over the documents.
+BLOCK_CHARS = 2_000_000
+#: Characters of a passage that are one entry of the index.
+PART = 2048
+#: Leaks whose documents are looked up by a broadcast of their ids (16 bytes each); more are joined by shuffle.
+FEW_LEAKS = 500_000
 K1, B = 1.2, 0.75
 POSTING_BLOCK = 32
 
@@ -89,18 +94,19 @@ class ItemIndex:
                 for a in range(len(gram) - span + 1):
                     low = min(low, float(weight[np.unique(place[a : a + span])].sum()))
                 self.threshold[item] = low * (1 - 1e-9)
+            for t in at.tolist():
+                postings[t][-1] = (item, postings[t][-1][1] / self.threshold[item])
         self.vocabulary = vocabulary
         self.lists = [([p[0] for p in ps], [p[1] for p in ps]) for ps in postings]
         self.blocks = [[(items_[min(b + POSTING_BLOCK, len(items_)) - 1], max(weights[b : b + POSTING_BLOCK])) for b in range(0, len(items_), POSTING_BLOCK)] for items_, weights in self.lists]
         self.best = np.array([max(w) for _, w in self.lists]) if len(self.lists) else np.empty(0)
-        self.least = float(self.threshold.min()) if n_items else math.inf
         self.runs = [{t[i : i + run] for i in range(len(t) - run + 1)} for t in self.texts]
 
     def candidates(self, terms: np.ndarray) -> list[int]:
-        """Items whose BM25 score for the query terms reaches their threshold, by block-max WAND."""
-        if not len(terms) or float(self.best[terms].sum()) < self.least:
+        """Items whose BM25 score for the query terms reaches their threshold (1 in their units), by block-max WAND."""
+        if not len(terms) or float(self.best[terms].sum()) < 1:
             return []
-        return [item for item, score in block_max_wand([self.lists[t] for t in terms], [self.blocks[t] for t in terms], self.best[terms].tolist(), self.least) if score >= self.threshold[item]]
+        return [item for item, _ in block_max_wand([self.lists[t] for t in terms], [self.blocks[t] for t in terms], self.best[terms].tolist(), 1.0)]
 
     def leaks(self, text: str) -> set[int]:
         """Positions of the items of which ``text`` (normalised) contains a run."""
@@ -194,21 +200,23 @@ def _scan(index, run: int):
     return search
 
 
-def _item_blocks(items: DataFrame, block: int) -> int:
-    return max(1, math.ceil(items.count() / block))
+def parts_of(items: list[tuple[int, str]], run: int) -> list[tuple[int, str]]:
+    """Entries of the index: a run of a passage lies whole in one of its parts."""
+    return [(i, t[a : a + PART]) for i, t in items for a in range(0, max(len(t) - run, 0) + 1, PART - run + 1) if len(t) - a >= run]
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, item_block: int = ITEM_BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id`` of every document that contains a run of a test passage."""
     spark = documents.sparkSession
     usable = items.filter("passage is not null and id is not null").select("id", "passage").distinct()
-    parts = _item_blocks(usable, item_block)
+    sizes = usable.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("chars")).first()
+    parts = max(1, math.ceil(sizes["chars"] / block_chars))
     result = None
     for part in range(parts):
-        chosen = usable.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part) if parts > 1 else usable
-        rows = bounded_rows(chosen, 2 * item_block + 1000, "items of one index block")
+        chosen = usable.filter(F.pmod(F.xxhash64("id", "passage"), F.lit(parts)) == part) if parts > 1 else usable
+        rows = bounded_rows(chosen, 2 * math.ceil(sizes["n"] / parts) + 1000, "items of one index block")
         pairs = [(r["id"], t) for r in rows if len(t := normal(r["passage"])) >= run]
-        index = spark.sparkContext.broadcast(ItemIndex(sorted(pairs), run))
+        index = spark.sparkContext.broadcast(ItemIndex(parts_of(sorted(pairs), run), run))
         found = spread(documents.select("doc_id", "text")).mapInArrow(_scan(index, run), "doc_id long, item_id int")
         result = found if result is None else result.unionByName(found)
     return result.distinct()
@@ -247,6 +255,8 @@ def longest_run(text: str, passage: str) -> int:
 
 def leak_details(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """Every leak with its longest run and the overlap of question and expected answer words."""
-    found = leaks(documents, items, run)
-    joined = found.join(documents.select("doc_id", "text"), "doc_id").join(items.select(F.col("id").alias("item_id"), "passage", "query", "expected_contains"), "item_id")
+    found = cut_lineage(leaks(documents, items, run))
+    # Texts of the few documents that leak are found by a broadcast of ids; only many leaks are worth a shuffle.
+    found = F.broadcast(found) if found.count() <= FEW_LEAKS else found
+    joined = documents.select("doc_id", "text").join(found, "doc_id").join(items.select(F.col("id").alias("item_id"), "passage", "query", "expected_contains"), "item_id")
     return joined.select("doc_id", "item_id", "text", "passage", "query", "expected_contains").mapInArrow(_overlaps, _OVERLAP)

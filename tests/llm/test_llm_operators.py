@@ -318,7 +318,7 @@ def brute_leaks(docs, items):
     return out
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, " ".join(sentence(rng, 6) for _ in range(rng.randint(1, 6)))) for i in range(1, 60)]
     items += [(60, None), (61, "too short"), (62, items[0][1])]
@@ -336,7 +336,9 @@ def test_leaks_equal_brute_force(spark):
     qa = spark.createDataFrame([(i, p, "q", ["x"]) for i, p in items], "id int, passage string, query string, expected_contains array<string>")
     want = brute_leaks(docs, items)
     assert {tuple(r) for r in leakage.leaks(df, qa).collect()} == want and want
-    assert {tuple(r) for r in leakage.leaks(df, qa, item_block=10).collect()} == want
+    assert {tuple(r) for r in leakage.leaks(df, qa, block_chars=900).collect()} == want
+    monkeypatch.setattr(leakage, "PART", 61)
+    assert {tuple(r) for r in leakage.leaks(df, qa).collect()} == want
     assert leakage.leaks(df, qa.limit(0)).count() == 0 and leakage.leaks(df.limit(0), qa).count() == 0
     assert {(r["doc_id"], r["item_id"]) for r in leakage.leak_details(df, qa).filter("longest_run >= 40").collect()} == want
 
