@@ -34,15 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder checkpoints go to: the session's own setting, or (only if unset) a temporary one.
+    """The folder checkpoints go to: the session's own setting, or (only if unset, and only locally) a temporary one.
 
-    ``spark.checkpoint.dir`` names a folder all executors share, so a lost executor loses nothing.
+    ``spark.checkpoint.dir`` names a folder all executors share, so a lost executor loses nothing; a cluster
+    without that setting has no such folder, which is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    wanted = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gleanery-checkpoint-")
+    wanted = sc.getConf().get("spark.checkpoint.dir")
+    if not wanted:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        wanted = tempfile.mkdtemp(prefix="gleanery-checkpoint-")
     sc.setCheckpointDir(wanted)
     return wanted
 
