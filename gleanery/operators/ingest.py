@@ -115,14 +115,14 @@ def _joined(parts: list[str], size: int, overlap: int, measure) -> list[str]:
     return [x for x in out if x]
 
 
-def recursive_chunks(documents: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+def recursive_chunks(documents: DataFrame, size: int = 500, overlap: int = 50, measure=estimate_tokens) -> DataFrame:
     """``doc_id, page, chunk`` from the recursive splitter, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, pages, chunks = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                for page, piece in enumerate(recursive_pieces(text or "", size, overlap), 1):
+                for page, piece in enumerate(recursive_pieces(text or "", size, overlap, measure=measure), 1):
                     at.append(row)
                     pages.append(page)
                     chunks.append(piece)
