@@ -1,9 +1,11 @@
 """Lexical ranking: postings, BM25 and sparse dot products as joins and aggregates.
 
 Queries always come as a batch. Statistics (document counts, lengths, document frequencies) are taken
-over all documents; only postings of query terms meet the queries, by an equi-join on the term, so a
-frequent term's postings are split by AQE like any skewed key. Scores are rounded before ranking, and every
-order ends in the document's id, so that ranks do not depend on the order of summation.
+over all documents: a document is one row, so its terms are told apart without an exchange and only sums
+per term are shuffled, pre-added in each task. Postings are filtered by the terms of the queries, a
+broadcast of checked size (a join by exchange beyond it), before anything of them is shuffled. Scores are
+rounded before ranking, and every order ends in the document's id, so that ranks do not depend on the
+order of summation.
 """
 
 from __future__ import annotations
@@ -29,31 +31,122 @@ def postings(documents: DataFrame, text: str = "text") -> DataFrame:
     return spread(documents.select("doc_id", text)).select("doc_id", F.explode(bag_tokens(text)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def inverse_frequencies(terms: DataFrame, n_documents: DataFrame) -> DataFrame:
-    """``term, idf``; a negative idf (a term in over half of the documents) becomes EPSILON of the mean idf."""
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(n_documents)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
-    mean = raw.agg((F.avg("idf") * EPSILON).alias("floor_idf"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, F.col("floor_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
+#: Query terms that are broadcast (about 50 bytes each); more meet the postings by an exchange.
+BROADCAST_TERMS = 500_000
+#: Rows of the statistics that are no terms: documents and tokens. No token starts with this character.
+_DOCUMENTS, _TOKENS = "\u0001documents", "\u0001tokens"
 
 
-def bm25(queries: DataFrame, documents: DataFrame, k: int | None = 20) -> DataFrame:
-    """``qid, doc_id, score, rank`` for ``queries(qid, query)`` over ``documents(doc_id, text)``."""
-    documents = documents.filter("text is not null")
-    # Texts are tokenised once: lengths and frequencies are sums over the postings, whose exchange Spark reuses.
-    all_terms = postings(documents)
-    lengths = all_terms.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    total = all_terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    size = documents.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row
-    asked = queries.select("qid", F.explode(bag_tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = asked.join(inverse_frequencies(all_terms, size.select("n")), "term")
-    hits = weights.join(all_terms, "term").join(lengths, "doc_id").crossJoin(F.broadcast(size.select("avgdl")))  # one row
+def term_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``term, n``: documents of each term, and two rows with the number of documents and of tokens; one pass."""
+    bags = spread(documents.select(text)).select(bag_tokens(text).alias("bag"))
+    one = lambda term, n: F.struct(term.alias("term"), n.cast("long").alias("n"))
+    rows = F.concat(F.transform(F.array_distinct("bag"), lambda t: one(t, F.lit(1))), F.array(one(F.lit(_DOCUMENTS), F.lit(1)), one(F.lit(_TOKENS), F.size("bag"))))
+    return bags.select(F.explode(rows).alias("r")).groupBy("r.term").agg(F.sum("r.n").alias("n"))
+
+
+def collection_size(statistics: DataFrame) -> DataFrame:
+    """One row: ``n_documents, avgdl, floor_idf``, the last being EPSILON of the mean idf of all terms."""
+    pick = lambda term: F.max(F.when(F.col("term") == term, F.col("n")))
+    totals = statistics.filter(F.col("term").isin(_DOCUMENTS, _TOKENS)).agg(pick(_DOCUMENTS).alias("n_documents"), pick(_TOKENS).alias("n_tokens"))
+    terms = statistics.filter(~F.col("term").startswith("\u0001")).crossJoin(F.broadcast(totals))  # one row
+    mean = terms.agg((F.avg(raw_idf(F.col("n_documents"), F.col("n"))) * EPSILON).alias("floor_idf"))
+    return totals.crossJoin(F.broadcast(mean)).select("n_documents", (F.col("n_tokens") / F.col("n_documents")).alias("avgdl"), "floor_idf")  # one row
+
+
+def raw_idf(n_documents: Column, df: Column) -> Column:
+    return F.log((n_documents - df + 0.5) / (df + 0.5))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """``qid, term, qtf`` of ``queries(qid, query)``."""
+    return queries.select("qid", F.explode(bag_tokens("query")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint only where the rows are few enough."""
+    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+
+
+def matching_postings(terms: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, dl, term, tf`` of the terms in ``terms(term)`` only."""
+    bags = spread(documents.select("doc_id", text)).select("doc_id", bag_tokens(text).alias("bag"))
+    tokens = bags.select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("term"))
+    return tokens.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def scored_postings(asked: DataFrame, matched: DataFrame, statistics: DataFrame, k: int | None) -> DataFrame:
+    """BM25 scores and ranks from ``asked(qid, term, qtf)``, ``matched(doc_id, dl, term, tf)`` and the statistics."""
+    size = collection_size(statistics)
+    known = asked.join(statistics, "term").crossJoin(F.broadcast(size))  # one row
+    idf = raw_idf(F.col("n_documents"), F.col("n"))
+    # A negative idf (a term in over half of the documents) becomes a share of the mean idf.
+    weights = known.select("qid", "term", "qtf", "avgdl", F.when(idf < 0, F.col("floor_idf")).otherwise(idf).alias("idf"))
+    hits = weights.join(matched, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scores = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return rank_within(scores, "qid", [F.desc("score"), F.col("doc_id")], k)
 
 
+def bm25(queries: DataFrame, documents: DataFrame, k: int | None = 20) -> DataFrame:
+    """``qid, doc_id, score, rank`` for ``queries(qid, query)`` over ``documents(doc_id, text)``."""
+    documents = documents.filter("text is not null")
+    asked = asked_terms(queries)
+    matched = matching_postings(bounded_broadcast(asked.select("term").distinct(), BROADCAST_TERMS), documents)
+    return scored_postings(asked, matched, term_statistics(documents), k)
+
+
+# --- stored index ----------------------------------------------------------------------------------
+
+#: Folders the postings are dealt to by term; a search reads those of its terms only.
+BUCKETS = 32
+
+
+def _bucket(term="term"):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(documents: DataFrame, path: str) -> None:
+    """Postings of ``documents(doc_id, text)``, in folders by term and sorted by it, and the term statistics."""
+    documents = documents.filter("text is not null")
+    bags = spread(documents.select("doc_id", "text")).select("doc_id", bag_tokens("text").alias("bag"))
+    rows = bags.select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows.withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    term_statistics(documents).write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def search_index(queries: DataFrame, path: str, k: int | None = 20) -> DataFrame:
+    """BM25 from a stored index: folders without a query term are not read."""
+    spark = queries.sparkSession
+    asked = asked_terms(queries)
+    terms = asked.select("term").distinct()
+    buckets = [r[0] for r in terms.select(_bucket()).distinct().collect()]  # BUCKETS at most
+    stored = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+    matched = stored.join(bounded_broadcast(terms, BROADCAST_TERMS), "term", "left_semi").select("doc_id", "dl", "term", "tf")
+    return scored_postings(asked, matched, spark.read.parquet(f"{path}/terms"), k)
+
+
+def update_index(path: str, into: str, changed: DataFrame, removed: DataFrame) -> None:
+    """A new index at ``into``: documents of ``changed(doc_id, text)`` replaced or added, ids of ``removed`` taken out.
+
+    Statistics change by the difference of old and new postings of those documents; no text is read again.
+    """
+    spark = changed.sparkSession
+    gone = changed.select("doc_id").union(removed.select("doc_id")).distinct()
+    old = spark.read.parquet(f"{path}/postings")
+    write_index(changed, f"{into}/part")
+    fresh = spark.read.parquet(f"{into}/part/postings")
+    kept = old.join(gone, "doc_id", "left_anti")
+    kept.unionByName(fresh).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{into}/postings")
+    lost = old.join(gone, "doc_id", "left_semi")
+    minus = lost.groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
+    whole = lost.select("doc_id", "dl").distinct()
+    totals = whole.agg((-F.count(F.lit(1))).alias("d"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("t")).select(F.explode(F.array(F.struct(F.lit(_DOCUMENTS).alias("term"), F.col("d").alias("n")), F.struct(F.lit(_TOKENS).alias("term"), F.col("t").alias("n")))).alias("r")).select("r.term", "r.n")
+    parts = spark.read.parquet(f"{path}/terms").unionByName(spark.read.parquet(f"{into}/part/terms")).unionByName(minus).unionByName(totals)
+    parts.groupBy("term").agg(F.sum("n").alias("n")).filter("n > 0").write.mode("overwrite").parquet(f"{into}/terms")
+
+
 def bm25_filled(queries: DataFrame, documents: DataFrame, k: int = 20) -> DataFrame:
     """BM25 where documents without any query term score 0 and fill up to k, in document order.
 
@@ -79,7 +172,11 @@ def sparse_vectors(documents: DataFrame, text: str = "text", key: str = "doc_id"
 
 
 def sparse_top(queries: DataFrame, documents: DataFrame, k: int | None = 10) -> DataFrame:
-    """Top documents by the dot product of sparse vectors."""
+    """Top documents by the dot product of sparse vectors; only slots of the queries leave a document."""
     q = sparse_vectors(queries.withColumnRenamed("query", "text"), key="qid").withColumnRenamed("val", "qval")
-    hits = q.join(sparse_vectors(documents.filter("text is not null")), "idx").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qval") * F.col("val")), 6).alias("score"))
+    bags = spread(documents.filter("text is not null").select("doc_id", "text")).select("doc_id", F.explode(bag_tokens("text")).alias("term"))
+    # Of a document's tokens those in a slot of a query: the slots are fewer than the table has.
+    slots = F.broadcast(q.select("idx").distinct())
+    d = bags.withColumn("idx", stable_slot(F.col("term"))).join(slots, "idx", "left_semi").groupBy("doc_id", "idx").agg(F.count(F.lit(1)).cast("double").alias("val"))
+    hits = q.join(d, "idx").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qval") * F.col("val")), 6).alias("score"))
     return rank_within(hits, "qid", [F.desc("score"), F.col("doc_id")], k)
