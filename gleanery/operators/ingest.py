@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -18,24 +19,36 @@ SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", "。", ".", " ")
 LEAST_CHARS, LEAST_BYTES, MOST_BYTES = 20, 32, 2 * 1024 * 1024
 
 
-def scan_files(spark: SparkSession, root: str, extensions=TEXT_EXTENSIONS, least: int = LEAST_BYTES, most: int = MOST_BYTES, skip_dirs: tuple[str, ...] = ()) -> DataFrame:
-    """Every file below ``root`` with the reason it is skipped (null: kept); only kept files are decoded.
+def scan_files(spark: SparkSession, root: str, extensions=TEXT_EXTENSIONS, least: int = LEAST_BYTES, most: int = MOST_BYTES, skip_dirs: tuple[str, ...] = (), special: dict[str, int] | None = None) -> DataFrame:
+    """Every file below ``root`` with the reason it is skipped (null: kept), without reading any content.
 
-    The listing is the file source's, so it is split over the cluster; name filters are pushed into it.
+    The listing is the file source's, so it is split over the cluster. ``special`` allows larger files below
+    the folders it names.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1)).otherwise(""))
     blocked = F.col("path").rlike("/(?:" + "|".join(map(re.escape, skip_dirs)) + ")/") if skip_dirs else F.lit(False)
+    limit = F.lit(most)
+    for folder, size in (special or {}).items():
+        limit = F.when(F.contains("path", F.lit(f"/{folder}/")), F.lit(size)).otherwise(limit)
     reason = (
         F.when(name.startswith("."), "hidden")
         .when(F.lower(name).rlike("|".join(SECRET_NAMES)), "secret")
         .when(blocked, "directory")
         .when(~extension.isin(*extensions), "extension")
         .when(F.col("length") < least, "too_small")
-        .when(F.col("length") > most, "too_large")
+        .when(F.col("length") > limit, "too_large")
     )
-    return files.select("path", name.alias("name"), extension.alias("extension"), "length", "modificationTime", reason.alias("skipped"), F.when(reason.isNull(), F.col("content")).alias("content"))
+    return files.select("path", name.alias("name"), extension.alias("extension"), "length", "modificationTime", reason.alias("skipped"))
+
+
+def read_files(spark: SparkSession, root: str, extensions=TEXT_EXTENSIONS, most: int = MOST_BYTES, **rules) -> DataFrame:
+    """Kept files with their content: names and sizes are pushed into the file source, so nothing else is read."""
+    pattern = "*.{" + ",".join(extensions) + "}"
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).filter(F.col("length") <= max([most, *(rules.get("special") or {}).values()]))
+    kept = scan_files(spark, root, extensions, most=most, **rules).filter("skipped is null").select("path")
+    return content.join(kept, "path", "left_semi").select("path", "length", "modificationTime", "content")
 
 
 def scan_counts(files: DataFrame) -> DataFrame:
@@ -43,9 +56,9 @@ def scan_counts(files: DataFrame) -> DataFrame:
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """``source, text, file_hash`` of kept files of at least LEAST_CHARS; broken bytes become replacement marks."""
-    kept = files.filter("skipped is null").select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return kept.filter(F.length("text") >= LEAST_CHARS).withColumn("file_hash", F.md5("text"))
+    """``source, text, file_hash`` of read files of at least LEAST_CHARS; broken bytes become replacement marks."""
+    texts = files.select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return texts.filter(F.length("text") >= LEAST_CHARS).withColumn("file_hash", F.md5("text"))
 
 
 # --- chunking --------------------------------------------------------------------------------------
@@ -182,7 +195,75 @@ def write_store(chunks: DataFrame, path: str) -> None:
     (chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path))
 
 
-def migrate(source: DataFrame, path: str) -> tuple[int, int]:
-    """Copy to Parquet and return the counts of both sides."""
+def append(chunks: DataFrame, path: str) -> None:
+    """Add rows to a store; a failed task is tried again by Spark and its output committed once."""
+    chunks.write.mode("append").parquet(path)
+
+
+def index_once(chunks: DataFrame, path: str) -> bool:
+    """Fill a store unless it already holds rows; says whether it was filled."""
+    if not is_empty(chunks.sparkSession, path):
+        return False
+    append(chunks, path)
+    return True
+
+
+def is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether a store holds no row; a store that does not exist holds none."""
+    try:
+        return spark.read.parquet(path).limit(1).isEmpty()
+    except AnalysisException:
+        return True
+
+
+def clear(spark: SparkSession, path: str, schema) -> None:
+    """An empty store of the same columns."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def update_collection(stored: DataFrame, additions: DataFrame, deletions: DataFrame, key: str) -> DataFrame:
+    """Stored rows without the deleted ids, with new ones added and known ones replaced."""
+    return upsert(delete_ids(stored, deletions, key), additions, key)
+
+
+def write_both(chunks: DataFrame, paths: tuple[str, str]) -> None:
+    """The same rows to two stores."""
+    for path in paths:
+        append(chunks, path)
+
+
+def read_either(spark: SparkSession, paths: tuple[str, str]) -> DataFrame:
+    """The first store that can be read."""
+    try:
+        return spark.read.parquet(paths[0])
+    except AnalysisException:
+        return spark.read.parquet(paths[1])
+
+
+def write_blocks(rows: DataFrame, path: str, key: str, per_block: int = 10_000) -> None:
+    """Metadata in blocks of ids, each a folder, and sorted inside: a lookup reads its ids' blocks only."""
+    blocks = rows.withColumn("block", F.floor(F.col(key) / per_block))
+    blocks.repartition("block").sortWithinPartitions("block", key).write.mode("overwrite").partitionBy("block").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, key: str, ids: list[int], per_block: int = 10_000) -> DataFrame:
+    """Rows of the given ids (one or many); folders of other blocks are pruned before the scan."""
+    blocks = sorted({i // per_block for i in ids})
+    return spark.read.parquet(path).filter(F.col("block").isin(blocks) & F.col(key).isin(ids))
+
+
+def keep_last(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """The last ``n`` rows of each group, as a history that is rewritten keeps them."""
+    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.filter(F.col("turn") <= n).drop("turn")
+
+
+def migrate(source: DataFrame, path: str) -> dict[str, int]:
+    """Copy to Parquet; counts of both sides and of rows that differ, by a sum of row hashes."""
     source.write.mode("overwrite").parquet(path)
-    return source.count(), source.sparkSession.read.parquet(path).count()
+    copied = source.sparkSession.read.parquet(path)
+    digest = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).alias("h")).first()
+    a, b = digest(source), digest(copied)
+    if (a["n"], a["h"]) != (b["n"], b["h"]):
+        raise ValueError(f"the copy differs: {a['n']} rows before, {b['n']} after")
+    return {"before": a["n"], "after": b["n"]}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, for tables a plan writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark)}/gleanery-{name}-{uuid.uuid4().hex}"
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a result that must be small by construction; fail loudly beyond ``limit`` rows."""
     rows = df.limit(limit + 1).collect()

@@ -13,9 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators import ingest
+from gleanery.runtime import scratch
+
 
 class SlidingLimit:
     """At most ``most`` accepted events per trailing ``seconds``; refused events are not counted."""
@@ -115,3 +118,49 @@ def budget_states(events: DataFrame, limit: float, warn: float = 0.8) -> DataFra
     within = F.sum("value").over(Window.partitionBy("key", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     spent = rows.withColumn("within", within).join(before, ["key", "day"]).withColumn("spent", (F.col("within") + F.col("before")).cast("double"))
     return spent.select("event_id", "key", F.round("spent", 4).alias("spent"), F.when(F.col("spent") >= limit, "exceeded").when(F.col("spent") >= warn * limit, "warning").otherwise("ok").alias("state"))
+
+
+# --- ingest, caches and topics ---------------------------------------------------------------------
+
+
+def hash_ingest(spark: SparkSession, chunks: DataFrame, changed) -> DataFrame:
+    """A stream of chunk files into a store: new chunks are added, chunks of another hash replaced, others skipped.
+
+    The rows arrive in two runs, in the first of which the ``changed`` ones still have other contents; each micro-batch
+    is compared with the store by an equi-join on the id and the store written anew beside the old one.
+    """
+    source, stores, mark = scratch(spark, "arrivals"), scratch(spark, "store"), scratch(spark, "offsets")
+    schema = "chunk_id string, content string"
+    current: dict[str, str] = {}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        incoming = batch.select("chunk_id", F.md5("content").alias("file_hash")).dropDuplicates(["chunk_id"])
+        if "path" in current:
+            stored = spark.read.parquet(current["path"])
+            status = ingest.incremental_status(stored, incoming).filter("status <> 'skipped'")
+            fresh = incoming.join(status.select("chunk_id"), "chunk_id", "left_semi").join(stored.select("chunk_id", "version"), "chunk_id", "left").select("chunk_id", "file_hash", (F.coalesce("version", F.lit(0)) + 1).alias("version"))
+            out = ingest.upsert(stored, fresh, "chunk_id")
+        else:
+            out = incoming.withColumn("version", F.lit(1))
+        out.write.mode("overwrite").parquet(f"{stores}/{number}")
+        current["path"] = f"{stores}/{number}"
+
+    early = chunks.withColumn("content", F.when(changed, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    for rows in (early, chunks):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        stream.awaitTermination()
+    return spark.read.parquet(current["path"]).select("chunk_id", "file_hash", "version")
+
+
+def ttl_hits(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """Lookups and hits of a cache: a key's entry lives ``seconds`` after its last use."""
+    before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "event_id"))
+    rows = events.select(key, "ts", before.alias("before"))
+    alive = F.col("before").isNotNull() & (F.col("ts") <= F.col("before") + F.expr(f"INTERVAL {seconds} SECONDS"))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("lookups"), F.count(F.when(alive, 1)).alias("hits"))
+
+
+def topic_states(events: DataFrame) -> DataFrame:
+    """Messages and the last value of each topic; the same aggregate runs on a stream in complete mode."""
+    return events.groupBy(F.col("event_type").alias("topic")).agg(F.count(F.lit(1)).alias("n_messages"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.max("ts").alias("last_at"))

@@ -144,7 +144,7 @@ def test_scan_and_decode(spark, tmp_path):
     scanned = ingest.scan_files(spark, str(tmp_path), skip_dirs=("node_modules",))
     reasons = {r["name"]: r["skipped"] for r in scanned.collect()}
     assert reasons["a.md"] is None and reasons["b.exe"] == "extension" and reasons["c.txt"] == "too_small" and reasons["d.py"] == "directory" and reasons["credentials.json"] == "secret"
-    decoded = {r["source"].rsplit("/", 1)[-1]: r for r in ingest.decode_files(scanned).collect()}
+    decoded = {r["source"].rsplit("/", 1)[-1]: r for r in ingest.decode_files(ingest.read_files(spark, str(tmp_path), skip_dirs=("node_modules",))).collect()}
     assert set(decoded) == {"a.md", "e.py", "bad.txt"}
     assert {r["outcome"] for r in ingest.scan_counts(scanned).collect()} >= {"kept", "secret"}
 
@@ -167,7 +167,7 @@ def test_store_round_trip(spark, tmp_path):
     ingest.write_store(chunks, str(tmp_path / "s"))
     ingest.write_store(chunks.filter("collection = 'x'").withColumn("content", F.lit("new")), str(tmp_path / "s"))
     assert {r["doc_id"]: r["content"] for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {"a": "new", "b": "two"}
-    assert ingest.migrate(chunks, str(tmp_path / "m")) == (2, 2)
+    assert ingest.migrate(chunks, str(tmp_path / "m")) == {"before": 2, "after": 2}
 
 
 # --- graph, SQL, state -----------------------------------------------------------------------------
