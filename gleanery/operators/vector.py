@@ -1,8 +1,9 @@
 """Vector search: exact top-k in blocks of queries, quantised codes and inverted lists.
 
 The stored vectors are scanned once per block of queries. A block is a broadcast matrix of bounded
-size; every task keeps its k best per query, so only k rows per query and task are shuffled, whatever
-the size of the store.
+size; every task keeps its k best per query in memory while it scans, so only k rows per query and task
+are sent and shuffled, whatever the size of the store. Searches on codes compare codes alone; the exact
+distance is taken of the survivors only, which are fetched by their ids.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.lexical import rank_within
-from gleanery.runtime import bounded_rows
+from gleanery.runtime import bounded_rows, cut_lineage
 
 #: Queries per broadcast block (4096 * 1024 dimensions * 8 bytes = 32 MB at most in practice).
 QUERY_BLOCK = 4096
@@ -28,8 +29,16 @@ _HITS = "qid long, vec_id long, score double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    lists = column.to_pylist()
-    return np.array(lists, dtype=np.float64).reshape(len(lists), -1) if lists else np.empty((0, 0))
+    """Rows of equal length as a matrix, without a Python object per value where that is possible."""
+    n = len(column)
+    if not n:
+        return np.empty((0, 0))
+    flat = column.flatten()
+    if column.null_count == 0 and flat.null_count == 0 and len(flat) % n == 0:
+        lengths = np.diff(column.offsets.to_numpy())
+        if (lengths == lengths[0]).all():
+            return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    return np.array(column.to_pylist(), dtype=np.float64).reshape(n, -1)
 
 
 def _hits(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
@@ -37,21 +46,61 @@ def _hits(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBat
 
 
 def similarity(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is nearer: cosine, inner product, or negative Euclidean distance."""
+    """Larger is nearer: cosine, inner product, or negative Euclidean distance (by the expanded square)."""
     if metric == "ip":
         return queries @ rows.T
     if metric == "l2":
-        # Differences are taken directly: the expanded square loses digits for close vectors.
-        return -np.sqrt(np.maximum(((queries[:, None, :] - rows[None, :, :]) ** 2).sum(2), 0))
+        square = (queries**2).sum(1)[:, None] - 2 * queries @ rows.T + (rows**2).sum(1)
+        return -np.sqrt(np.maximum(square, 0))
     a, b = np.linalg.norm(queries, axis=1, keepdims=True), np.linalg.norm(rows, axis=1, keepdims=True)
     return (queries / np.where(a == 0, 1, a)) @ (rows / np.where(b == 0, 1, b)).T
 
 
-def _best(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
-    """k best of each row of ``scores``; ties by id, judged on the rounded score."""
-    rounded = np.round(scores, 6)
-    order = np.stack([np.lexsort((ids, -row))[:k] for row in rounded]) if len(ids) else np.empty((len(qids), 0), np.int64)
-    return _hits(np.repeat(qids, order.shape[1]), ids[order].ravel(), np.take_along_axis(rounded, order, 1).ravel())
+#: Scores this close to the k-th best are judged on their rounded values and ids.
+NEAR = 2e-6
+
+
+def near_best(scores: np.ndarray, k: int, slack: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) of all scores not worse than the k-th best of their query, but for ``slack``."""
+    if scores.shape[1] <= k:
+        return tuple(np.indices(scores.shape).reshape(2, -1))
+    limit = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return np.nonzero(scores >= (limit - slack)[:, None])
+
+
+class Best:
+    """The k best rows of each query of a block while a task scans: larger scores first, then smaller ids."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.id, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        query, ids, score = np.r_[self.query, query], np.r_[self.id, ids], np.r_[self.score, score]
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        first = np.flatnonzero(np.r_[True, np.diff(query) != 0]) if len(query) else np.empty(0, np.int64)
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        keep = place < self.k
+        self.query, self.id, self.score = query[keep], ids[keep], score[keep]
+
+    def batch(self, qids: np.ndarray) -> pa.RecordBatch:
+        return _hits(qids[self.query] if len(self.query) else self.query, self.id, self.score)
+
+
+def _exact(matrix: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray, rough: np.ndarray, metric: str) -> np.ndarray:
+    """Rounded scores of chosen pairs; the expanded square loses digits for close vectors, so these are taken anew."""
+    if metric != "l2":
+        return np.round(rough[q, r], 6)
+    out = np.empty(len(q))
+    for at in range(0, len(q), 65_536):
+        part = slice(at, at + 65_536)
+        out[part] = -np.sqrt(((matrix[q[part]] - rows[r[part]]) ** 2).sum(1))
+    return np.round(out, 6)
+
+
+#: Rows compared with a block of queries at once.
+ROW_BLOCK = 2048
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -72,12 +121,15 @@ def exact_top(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, matrix = shared.value
+            best = Best(k)
             for batch in batches:
-                if batch.num_rows:
-                    ids = batch.column("vec_id").to_numpy()
-                    rows = _matrix(batch.column("embedding"))
-                    for at in range(0, len(ids), 2048):
-                        yield _best(qids, ids[at : at + 2048], similarity(matrix, rows[at : at + 2048], metric), k)
+                ids, rows = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))
+                for at in range(0, len(ids), ROW_BLOCK):
+                    part = rows[at : at + ROW_BLOCK]
+                    rough = similarity(matrix, part, metric)
+                    q, r = near_best(rough, k, 1e-4 if metric == "l2" else NEAR)
+                    best.add(q, ids[at : at + ROW_BLOCK][r], _exact(matrix, part, q, r, rough, metric))
+            yield best.batch(qids)
 
         found = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(scan, _HITS)
         result = found if result is None else result.unionByName(found)
@@ -86,31 +138,82 @@ def exact_top(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str =
     return rank_within(result, "qid", [F.desc("score"), F.col("vec_id")], k)
 
 
-def binary_top(queries: DataFrame, vectors: DataFrame, k: int = 10, rerank: int = 100) -> DataFrame:
-    """Two stages: the ``rerank`` nearest sign patterns by Hamming distance, then exact cosine among them."""
+#: Survivors of a search on codes whose ids are broadcast to fetch their vectors (24 bytes each).
+BROADCAST_SURVIVORS = 1_000_000
+
+
+def measured(survivors: DataFrame, queries: DataFrame, vectors: DataFrame, metric: str, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The k best of ``survivors(qid, vec_id, *keep)`` by exact distance: their vectors alone are fetched and measured."""
+    survivors = cut_lineage(survivors)
+    few = F.broadcast(survivors) if survivors.count() <= BROADCAST_SURVIVORS else survivors
+    pairs = vectors.filter("embedding is not null").select("vec_id", "embedding").join(few, "vec_id")
+    asked = queries.select("qid", F.col("embedding").alias("asked"))
+    names = ["qid", "vec_id", *keep]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, rows = _matrix(batch.column("asked")), _matrix(batch.column("embedding"))
+            if not len(rows):
+                score = np.empty(0)
+            elif metric == "l2":
+                score = -np.sqrt(((q - rows) ** 2).sum(1))
+            else:
+                a, b = np.linalg.norm(q, axis=1), np.linalg.norm(rows, axis=1)
+                score = (q * rows).sum(1) / np.where(a * b == 0, 1, a * b)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(np.round(score, 6), pa.float64())], names=[*names, "score"])
+
+    schema = ", ".join(f"{c} long" for c in names) + ", score double"
+    scored = pairs.join(asked, "qid").select(*names, "asked", "embedding").mapInArrow(measure, schema)
+    return rank_within(scored, "qid", [F.desc("score"), F.col("vec_id")], k)
+
+
+def binary_codes(vectors: DataFrame) -> DataFrame:
+    """``vec_id, code``: one bit a dimension, its sign."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch.column("embedding"))
+            codes = [c.tobytes() for c in np.packbits(rows > 0, axis=1)] if len(rows) else []
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(codes, pa.binary())], names=["vec_id", "code"])
+
+    return vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(encode, "vec_id long, code binary")
+
+
+def _code_matrix(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+
+
+def binary_top(queries: DataFrame, vectors: DataFrame, k: int = 10, rerank: int = 100, codes: DataFrame | None = None) -> DataFrame:
+    """Two stages: the ``rerank`` nearest sign patterns by Hamming distance, then exact cosine among them.
+
+    ``codes`` is a stored table of ``binary_codes``; without it the codes are made from the vectors.
+    """
+    codes = binary_codes(vectors) if codes is None else codes
     spark, result = vectors.sparkSession, None
     for qids, matrix in query_blocks(queries):
-        shared = spark.sparkContext.broadcast((qids, matrix))
+        shared = spark.sparkContext.broadcast((qids, np.packbits(matrix > 0, axis=1)))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, matrix = shared.value
-            asked = np.packbits(matrix > 0, axis=1)
+            qids, asked = shared.value
+            best = Best(rerank)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, rows = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))
-                codes = np.packbits(rows > 0, axis=1)
-                exact = np.round(similarity(matrix, rows, "cosine"), 6)
-                for i, qid in enumerate(qids):
-                    distance = np.bitwise_count(codes ^ asked[i]).sum(1)
-                    near = np.lexsort((ids, distance))[:rerank]
-                    made = [np.full(len(near), qid), ids[near], distance[near], exact[i, near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.int64()), pa.array(made[3], pa.float64())], names=["qid", "vec_id", "hamming", "score"])
-
-        found = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(scan, "qid long, vec_id long, hamming long, score double")
+                ids, rows = batch.column("vec_id").to_numpy(), _code_matrix(batch.column("code"))
+                for at in range(0, len(ids), ROW_BLOCK):
+                    part = rows[at : at + ROW_BLOCK]
+                    distance = np.stack([np.bitwise_count(part ^ a).sum(1) for a in asked]).astype(np.float64)
+                    q, r = near_best(-distance, rerank, 0.0)
+                    best.add(q, ids[at : at + ROW_BLOCK][r], -distance[q, r])
+            yield best.batch(qids)
+
+        found = codes.mapInArrow(scan, _HITS)
         result = found if result is None else result.unionByName(found)
-    near = rank_within(result, "qid", [F.col("hamming"), F.col("vec_id")], rerank, "coarse_rank")
-    return rank_within(near, "qid", [F.desc("score"), F.col("vec_id")], k).drop("coarse_rank")
+    if result is None:
+        result = spark.createDataFrame([], _HITS)
+    near = rank_within(result, "qid", [F.desc("score"), F.col("vec_id")], rerank, "coarse_rank").select("qid", "vec_id", (-F.col("score")).cast("long").alias("hamming"))
+    return measured(near, queries, vectors, "cosine", k, ("hamming",))
 
 
 # --- scalar codes ----------------------------------------------------------------------------------
@@ -188,65 +291,106 @@ class Codebooks:
         return sum(self._decode_layer(codes[:, i * self.parts : (i + 1) * self.parts], books) for i, books in enumerate(self.layers))
 
 
-def coded_top(queries: DataFrame, vectors: DataFrame, books: Codebooks, k: int = 10, rerank: int = 100) -> DataFrame:
-    """Nearest decoded vectors by Euclidean distance, the best ``rerank`` of which are measured exactly."""
+def code_table(vectors: DataFrame, books: Codebooks) -> DataFrame:
+    """``vec_id, code``: a byte for each part and layer."""
+    shared = vectors.sparkSession.sparkContext.broadcast(books)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch.column("embedding"))
+            codes = [c.tobytes() for c in shared.value.encode(rows).astype(np.uint8)] if len(rows) else []
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(codes, pa.binary())], names=["vec_id", "code"])
+
+    return vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(encode, "vec_id long, code binary")
+
+
+def coded_top(queries: DataFrame, vectors: DataFrame, books: Codebooks, k: int = 10, rerank: int = 100, codes: DataFrame | None = None) -> DataFrame:
+    """The ``rerank`` nearest decoded vectors, found on codes alone; the best of them by exact Euclidean distance."""
+    codes = code_table(vectors, books) if codes is None else codes
     spark, result = vectors.sparkSession, None
     for qids, matrix in query_blocks(queries):
         shared = spark.sparkContext.broadcast((qids, matrix, books))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, matrix, books = shared.value
+            best = Best(rerank)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, rows = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"))
-                rough = similarity(matrix, books.decode(books.encode(rows)), "l2")
-                exact = np.round(similarity(matrix, rows, "l2"), 6)
-                near = np.argsort(-rough, axis=1, kind="stable")[:, :rerank]
-                at = np.arange(len(qids))[:, None]
-                made = [np.repeat(qids, near.shape[1]), ids[near].ravel(), rough[at, near].ravel(), exact[at, near].ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64()), pa.array(made[3], pa.float64())], names=["qid", "vec_id", "rough", "score"])
-
-        found = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(scan, "qid long, vec_id long, rough double, score double")
+                ids, rows = batch.column("vec_id").to_numpy(), _code_matrix(batch.column("code"))
+                for at in range(0, len(ids), ROW_BLOCK):
+                    rough = similarity(matrix, books.decode(rows[at : at + ROW_BLOCK].astype(np.int64)), "l2")
+                    q, r = near_best(rough, rerank)
+                    best.add(q, ids[at : at + ROW_BLOCK][r], rough[q, r])
+            yield best.batch(qids)
+
+        found = codes.mapInArrow(scan, _HITS)
         result = found if result is None else result.unionByName(found)
-    near = rank_within(result, "qid", [F.desc("rough"), F.col("vec_id")], rerank, "coarse_rank")
-    return rank_within(near, "qid", [F.desc("score"), F.col("vec_id")], k).drop("coarse_rank", "rough")
+    if result is None:
+        result = spark.createDataFrame([], _HITS)
+    near = rank_within(result, "qid", [F.desc("score"), F.col("vec_id")], rerank, "coarse_rank").select("qid", "vec_id")
+    return measured(near, queries, vectors, "l2", k)
 
 
-def inverted_lists(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
-    """``vec_id, list_no, embedding``: every vector under its nearest center."""
+def inverted_lists(vectors: DataFrame, centers: np.ndarray, copies: int = 4) -> DataFrame:
+    """``vec_id, list_no, embedding``: every vector under each of its ``copies`` nearest centers.
+
+    A vector near a border stands on both sides of it, so few lists hold a query's neighbours.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(centers)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _matrix(batch.column("embedding"))
-            lists = nearest_center(rows, shared.value) if len(rows) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(lists, pa.int32()), batch.column("embedding")], names=["vec_id", "list_no", "embedding"])
+            near = np.argsort(-similarity(rows, shared.value, "l2"), axis=1, kind="stable")[:, :copies] if len(rows) else np.empty((0, 1), np.int64)
+            at = pa.array(np.repeat(np.arange(len(rows)), near.shape[1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), pa.array(near.ravel(), pa.int32()), batch.column("embedding").take(at)], names=["vec_id", "list_no", "embedding"])
 
     return vectors.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(assign, "vec_id long, list_no int, embedding array<float>")
 
 
-def list_top(queries: DataFrame, lists: DataFrame, centers: np.ndarray, probes: int, k: int = 10) -> DataFrame:
-    """Search of the ``probes`` lists whose centers are nearest to the query.
+def write_lists(vectors: DataFrame, centers: np.ndarray, path: str, copies: int = 4) -> None:
+    """Inverted lists as a store with a folder for each list."""
+    inverted_lists(vectors, centers, copies).repartition("list_no").write.mode("overwrite").partitionBy("list_no").parquet(path)
 
-    Queries and vectors meet by list number only; written out partitioned by it, a list that no query
-    probes is never read. The distance is a codegen'd fold over the two arrays.
+
+def list_top(queries: DataFrame, lists: DataFrame, centers: np.ndarray, probes: int, k: int = 10, copies: int = 4) -> DataFrame:
+    """``qid, vec_id, score, rank, n_read``: search of the ``probes`` lists whose centers are nearest to the query.
+
+    Folders of lists that no query of a block probes are pruned; a list is compared with the queries that
+    probe it only. ``n_read`` is the number of rows a query was compared with.
     """
-    shared = lists.sparkSession.sparkContext.broadcast(centers)
+    spark, result = lists.sparkSession, None
+    for qids, matrix in query_blocks(queries):
+        near = np.argsort(-similarity(matrix, centers, "l2"), axis=1, kind="stable")[:, :probes]
+        wanted = {int(n): np.flatnonzero((near == n).any(1)) for n in np.unique(near)}
+        shared = spark.sparkContext.broadcast((qids, matrix, wanted))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = _matrix(batch.column("q"))
-            if not len(rows):
-                continue
-            near = np.argsort(-similarity(rows, shared.value, "l2"), axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(len(rows)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("qid").take(at), batch.column("q").take(at), pa.array(near.ravel(), pa.int32())], names=["qid", "q", "list_no"])
-
-    asked = queries.select("qid", F.col("embedding").alias("q")).mapInArrow(probe, "qid long, q array<float>, list_no int")
-    gap = F.aggregate(F.zip_with("q", "embedding", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2.0)), F.lit(0.0), lambda s, v: s + v)
-    hits = asked.join(lists, "list_no").select("qid", "vec_id", F.round(-F.sqrt(gap), 6).alias("score"))
-    return rank_within(hits, "qid", [F.desc("score"), F.col("vec_id")], k)
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, matrix, wanted = shared.value
+            best, read = Best(k * copies), np.zeros(len(qids), np.int64)
+            for batch in batches:
+                ids, numbers, rows = batch.column("vec_id").to_numpy(), batch.column("list_no").to_numpy(), _matrix(batch.column("embedding"))
+                for number in np.unique(numbers):
+                    asked, here = wanted[int(number)], np.flatnonzero(numbers == number)
+                    read[asked] += len(here)
+                    for at in range(0, len(here), ROW_BLOCK):
+                        part = rows[here[at : at + ROW_BLOCK]]
+                        rough = similarity(matrix[asked], part, "l2")
+                        q, r = near_best(rough, k * copies, 1e-4)
+                        best.add(asked[q], ids[here[at : at + ROW_BLOCK]][r], _exact(matrix[asked], part, q, r, rough, "l2"))
+            at = np.flatnonzero(read)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[qids[best.query], qids[at]].astype(np.int64), pa.int64()), pa.array([*best.id.tolist(), *[None] * len(at)], pa.int64()), pa.array([*best.score.tolist(), *[None] * len(at)], pa.float64()), pa.array([*[0] * len(best.id), *read[at].tolist()], pa.int64())], names=["qid", "vec_id", "score", "n_read"])
+
+        chosen = lists.filter(F.col("list_no").isin(sorted(wanted))).select("vec_id", "list_no", "embedding")
+        found = chosen.mapInArrow(scan, "qid long, vec_id long, score double, n_read long")
+        result = found if result is None else result.unionByName(found)
+    if result is None:
+        result = spark.createDataFrame([], "qid long, vec_id long, score double, n_read long")
+    result = cut_lineage(result)
+    read = result.groupBy("qid").agg(F.sum("n_read").alias("n_read"))
+    once = result.filter("vec_id is not null").groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
+    return rank_within(once, "qid", [F.desc("score"), F.col("vec_id")], k).join(read, "qid")
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from gleanery.functions import sqltext as S
 from gleanery.functions import text as T
 from gleanery.operators import fusion, lexical, vector
 from gleanery.plans.registry import query
-from gleanery.runtime import cut_lineage, table
+from gleanery.runtime import cut_lineage, scratch, table
 
 
 def text_queries(spark, d):
@@ -261,27 +261,66 @@ def scalar_error(spark, d):
     return codes.groupBy("dim").agg(F.round(F.max(F.abs(F.col("decoded") - F.col("v"))), 9).alias("max_error"))
 
 
+#: Lists of the inverted index, lists each vector stands in, and lists a query reads (a quarter).
+LISTS, COPIES, PROBES = 64, 4, 16
+
+
 @query("v7_ivf_recall")
 def ivf_recall(spark, d):
+    """Recall of the stored lists against the full scan, and the share of the stored rows a query was compared with."""
     store = vectors(spark, d)
-    centers = vector.k_means(vector.fit_sample(store), 16)
-    lists = vector.inverted_lists(store, centers)
-    found = vector.list_top(vector_queries(spark, d), lists, centers, probes=10)
-    return vector.recall(found, vector.exact_top(vector_queries(spark, d), store, metric="l2"), 10)
+    centers = vector.k_means(vector.fit_sample(store), LISTS)
+    path = scratch(spark, "lists")
+    vector.write_lists(store, centers, path, COPIES)
+    lists = spark.read.parquet(path)
+    found = cut_lineage(vector.list_top(vector_queries(spark, d), lists, centers, PROBES, 10, COPIES))
+    share = found.groupBy("qid").agg((F.max("n_read") / lists.count()).alias("share"))
+    return vector.recall(found, vector.exact_top(vector_queries(spark, d), store, metric="l2"), 10).join(share, "qid").select("qid", "recall", F.round("share", 6).alias("share_read"))
+
+
+#: Rows whose exact distance is taken after a search on codes.
+SURVIVORS = 200
 
 
 @query("v8_pq_recall")
 def pq_recall(spark, d):
     store = vectors(spark, d)
     books = vector.Codebooks(vector.fit_sample(store), parts=8, codes=256)
-    return vector.recall(vector.coded_top(vector_queries(spark, d), store, books), vector.exact_top(vector_queries(spark, d), store, metric="l2"), 10)
+    return vector.recall(vector.coded_top(vector_queries(spark, d), store, books, rerank=SURVIVORS), vector.exact_top(vector_queries(spark, d), store, metric="l2"), 10)
 
 
 @query("v9_rq_recall")
 def rq_recall(spark, d):
     store = vectors(spark, d)
     books = vector.Codebooks(vector.fit_sample(store), parts=4, codes=64, layers=4)
-    return vector.recall(vector.coded_top(vector_queries(spark, d), store, books), vector.exact_top(vector_queries(spark, d), store, metric="l2"), 10)
+    return vector.recall(vector.coded_top(vector_queries(spark, d), store, books, rerank=SURVIVORS), vector.exact_top(vector_queries(spark, d), store, metric="l2"), 10)
+
+
+def _cut(df, dims=32):
+    return df.withColumn("embedding", F.slice("embedding", 1, dims))
+
+
+@query("v10_truncated_pq")
+def truncated_pq(spark, d):
+    """First dimensions, product codes of them, exact distance of the survivors; recall against the cut vectors."""
+    q, store = _cut(vector_queries(spark, d)), _cut(vectors(spark, d))
+    books = vector.Codebooks(vector.fit_sample(store), parts=8, codes=256)
+    return vector.recall(vector.coded_top(q, store, books, rerank=SURVIVORS), vector.exact_top(q, store, metric="l2"), 10)
+
+
+@query("v10_truncated_rq")
+def truncated_rq(spark, d):
+    q, store = _cut(vector_queries(spark, d)), _cut(vectors(spark, d))
+    books = vector.Codebooks(vector.fit_sample(store), parts=4, codes=64, layers=4)
+    return vector.recall(vector.coded_top(q, store, books, rerank=SURVIVORS), vector.exact_top(q, store, metric="l2"), 10)
+
+
+@query("v3_index_recall")
+def index_recall(spark, d):
+    """Recall at ten of the residual-code index against the flat inner product (vectors of unit length)."""
+    q, store = vector_queries(spark, d), vectors(spark, d)
+    books = vector.Codebooks(vector.fit_sample(store), parts=4, codes=64, layers=4)
+    return vector.recall(vector.coded_top(q, store, books, rerank=SURVIVORS), vector.exact_top(q, store, metric="ip"), 10)
 
 
 @query(
