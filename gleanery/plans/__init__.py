@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules whose import registers queries.
-MODULES = ("drift", "retrieval", "rules", "judging", "ingest", "evaluation", "telemetry", "steps", "routing", "selection", "metrics", "stores")
+MODULES = ("drift", "retrieval", "rules", "judging", "ingest", "evaluation", "telemetry", "steps", "routing", "selection", "metrics", "stores", "tools")
 
 
 def load():

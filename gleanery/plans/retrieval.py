@@ -262,19 +262,22 @@ def scalar_error(spark, d):
 
 
 #: Lists of the inverted index, lists each vector stands in, and lists a query reads (a quarter).
-LISTS, COPIES, PROBES = 64, 4, 16
+LISTS, COPIES, PROBES = 64, 3, 16
 
 
 @query("v7_ivf_recall")
 def ivf_recall(spark, d):
-    """Recall of the stored lists against the full scan, and the share of the stored rows a query was compared with."""
+    """Recall of the stored lists against the full scan, and the rows a query was compared with as a share of the vectors.
+
+    The test vectors have no clusters, which leaves lists little to save; the share is reported with the recall.
+    """
     store = vectors(spark, d)
     centers = vector.k_means(vector.fit_sample(store), LISTS)
     path = scratch(spark, "lists")
     vector.write_lists(store, centers, path, COPIES)
     lists = spark.read.parquet(path)
     found = cut_lineage(vector.list_top(vector_queries(spark, d), lists, centers, PROBES, 10, COPIES))
-    share = found.groupBy("qid").agg((F.max("n_read") / lists.count()).alias("share"))
+    share = found.groupBy("qid").agg((F.max("n_read") / store.count()).alias("share"))
     return vector.recall(found, vector.exact_top(vector_queries(spark, d), store, metric="l2"), 10).join(share, "qid").select("qid", "recall", F.round("share", 6).alias("share_read"))
 
 
