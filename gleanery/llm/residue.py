@@ -99,6 +99,8 @@ def skeleton(text: str) -> str:
 
 def is_filler_text(text: str) -> bool:
     """Pseudo-Latin, or a few words repeated over and over."""
+    if len(text) < 5:
+        return False
     words = [w.lower() for w in _WORDS.findall(text)]
     if len(words) < 5 or len(set(words)) > max(30, 0.2 * len(words)):
         return False
@@ -121,7 +123,7 @@ def _sentences(text: str) -> list[str]:
 KINDS = ("script_notice", "error_page", "filler")
 _WORDING = (_SCRIPT_LINE, _ERROR_LINE, _FILLER_LINE)
 #: Different terms up to which a body can be a mere notice; knowledge of a few sentences has more.
-FEW_TERMS = 120
+FEW_TERMS = 60
 _TERM = re.compile(r"[a-z]{4,}|[一-鿿]{1,2}")
 
 
@@ -141,7 +143,7 @@ def describe(body: str) -> tuple[list[float], list[str]]:
     sentences = _sentences(text)
     total = max(sum(map(len, sentences)), 1)
     hits = [[bool(p.search(x)) for x in sentences] for p in _WORDING]
-    polite = [bool(_POLITE.search(x)) for x in sentences]
+    polite = [bool(_POLITE.search(x)) for x in sentences] if any(map(any, hits)) else [False] * len(sentences)
     shares = [sum(len(x) for x, h, c in zip(sentences, hit, polite, strict=True) if h or c) / total if any(hit) else 0.0 for hit in hits]
     if is_filler_text(text) or sum(len(x) for x in sentences if is_filler_text(x)) >= 0.8 * total:
         shares[2] = 1.0
@@ -245,6 +247,12 @@ def has_placeholder(text: str, value: bool = False) -> bool:
     return any(w in bare for w in _MISSING_WORDS) and bool(_MISSING.search(bare) or (value and _EMPTY_VALUE.match(bare.strip())))
 
 
+@lru_cache(maxsize=4096)
+def is_placeholder_value(value: str) -> bool:
+    return has_placeholder(value, True)
+
+
+@lru_cache(maxsize=4096)
 def is_filler_value(value: str) -> bool:
     """A metadata value that is stand-in wording from end to end."""
     if not _FILLER_LINE.search(value):
@@ -276,7 +284,7 @@ def _signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = {k: v for k, v in metadata or [] if v}
             body = content or ""
             other = None
-            if has_placeholder(body) or any(has_placeholder(v, True) for v in values.values()):
+            if has_placeholder(body) or any(map(is_placeholder_value, values.values())):
                 other = "placeholder"
             elif any(is_filler_value(v) for v in values.values()):
                 other = "filler"
