@@ -316,6 +316,21 @@ def unified_table(lines: DataFrame) -> DataFrame:
     A narrow map after the one exchange that drops lines loaded twice; only the union schema, whose width
     is checked, goes to the driver and to the tasks.
     """
+    columns = union_columns(lines)
+    schema = "series_id long, file_id long, line_no int, case_id long" + "".join(f", `{name.replace('`', '``')}` {t}" for _, name, t in columns)
+    return sound_lines(lines).mapInArrow(_casts(columns), schema)
+
+
+def kept_values(lines: DataFrame) -> DataFrame:
+    """``path, n_values`` of the one table: how many cells of each column hold a value."""
+    columns = union_columns(lines)
+    held = unified_table(lines)
+    counts = F.array(*[F.struct(F.lit(path).alias("path"), F.count(F.col(f"`{name.replace('`', '``')}`")).alias("n_values")) for path, name, _ in columns])
+    return held.agg(counts.alias("c")).select(F.explode("c").alias("c")).select("c.path", "c.n_values")
+
+
+def union_columns(lines: DataFrame) -> list[tuple[str, str, str]]:
+    """``(path, column, type)`` of the union table in order of paths."""
     rows = bounded_rows(union_schema(lines), MAX_COLUMNS, "columns of the union table")
     taken = {"series_id", "file_id", "line_no", "case_id"}
     columns = []
@@ -326,5 +341,4 @@ def unified_table(lines: DataFrame) -> DataFrame:
             name = f"{path.replace('.', '__')}__{n}"
         taken.add(name.lower())
         columns.append((path, name, data_type))
-    schema = "series_id long, file_id long, line_no int, case_id long" + "".join(f", `{name.replace('`', '``')}` {t}" for _, name, t in columns)
-    return sound_lines(lines).mapInArrow(_casts(columns), schema)
+    return columns
