@@ -152,3 +152,13 @@ def reached_shares(sized: DataFrame, plans: DataFrame, seed: int = SEED) -> Data
         F.when(total > 0, F.col("tokens") / total).otherwise(0.0).alias("actual_share"),
         F.round(F.greatest(F.col("target_tokens") - F.col("tokens"), F.lit(0.0)), 3).alias("short_tokens"),
     )
+
+
+def targets_met(sized: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
+    """``plan_id, source, within``: the source reached its tokens within its largest document, or gave all its cap allows."""
+    largest = sized.groupBy("source").agg(F.max("tokens").alias("largest"))
+    rows = reached_shares(sized, plans, seed).join(plan_targets(sized, plans).select("plan_id", "source", "max_repeats"), ["plan_id", "source"]).join(largest, "source", "left")
+    cap = F.greatest(F.coalesce(F.col("max_repeats").cast("long"), F.lit(2**31)), F.lit(0))
+    near = F.abs(F.col("tokens") - F.col("target_tokens")) <= F.coalesce("largest", F.lit(0)) / 2 + 1e-3
+    used_up = F.col("tokens") == F.col("available") * F.least(cap, F.col("most_repeats"))
+    return rows.select("plan_id", "source", ((near | (used_up & (F.col("most_repeats") == cap)) | (F.col("available") == 0) | (cap == 0)) & (F.col("most_repeats") <= cap)).alias("within"))

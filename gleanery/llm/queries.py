@@ -66,6 +66,11 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "chunks"))
 
 
+def p4_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Every document put together again from its pieces, whose lengths and overlaps are kept."""
+    return splitting.cover(splitting.split_documents(table(spark, d, "chunks")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "kb_documents")).pairs()
 
@@ -94,6 +99,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(mixing.measured(table(spark, d, "documents")), table(spark, d, "mix_plan"))
 
 
+def p8_within(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.targets_met(mixing.measured(table(spark, d, "documents")), table(spark, d, "mix_plan"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return textstats.non_prose(textstats.document_stats(table(spark, d, "documents")))
 
@@ -117,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p3_evidence,
         p4_found,
         p4_pieces,
+        p4_cover,
         p5_found,
         p5_groups,
         p6_found,
@@ -124,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p7_details,
         p8_mixture,
         p8_shares,
+        p8_within,
         p9_found,
         p9_stats,
         p9_scores,

@@ -181,3 +181,16 @@ def oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     """``doc_id`` of the documents the splitter had to cut."""
     cut = chunks.select("doc_id", "source", "page", "content").mapInArrow(_split(limit, overlap), "doc_id string, source string, page int, piece_no int, start_pos long, end_pos long, piece string")
     return cut.filter(F.col("piece_no") == 2).select("doc_id").distinct()
+
+
+def cover(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``doc_id, n_chars, text_md5, in_limits`` of the documents the pieces make when their overlaps are dropped.
+
+    A document's pieces are put together in one row, as it was one row before.
+    """
+    parts = pieces.filter("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece"))).alias("p"))
+    shared = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("p", i - 1)["end_pos"] - F.get("p", i)["start_pos"]))
+    rows = parts.withColumn("shared", shared)
+    whole = F.array_join(F.zip_with("p", "shared", lambda x, n: F.substring(x["piece"], (n + 1).cast("int"), F.lit(limit))), "")
+    fits = F.forall("p", lambda x: (F.length(x["piece"]) <= limit) & (F.length(x["piece"]) == x["end_pos"] - x["start_pos"])) & F.forall("shared", lambda n: n.between(0, overlap))
+    return rows.select("doc_id", F.length(whole).cast("long").alias("n_chars"), F.md5(whole).alias("text_md5"), fits.alias("in_limits"))
