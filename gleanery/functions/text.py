@@ -12,6 +12,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def rounded(c, digits: int) -> Column:
+    """Rounded in decimal arithmetic, where a tie is a tie."""
+    return F.round(_col(c).cast("decimal(28,9)"), digits).cast("double")
+
+
 def strip(c) -> Column:
     """Trim every kind of white space, as opposed to spaces only."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")

@@ -144,10 +144,10 @@ def recursive_chunks(documents: DataFrame, size: int = 500, overlap: int = 50, m
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, page int, chunk string")
 
 
-def best_per_name(files: DataFrame) -> DataFrame:
-    """One file per base name (any case): the largest, then the shortest path; an aggregate, not a window."""
+def best_per_name(files: DataFrame, first_folder: str = "") -> DataFrame:
+    """One file per base name (any case): one below ``first_folder``, then the largest, then the shortest path; an aggregate, not a window."""
     name = F.lower(F.element_at(F.split("source", "/"), -1))
-    key = F.struct(F.col("size").alias("size"), (-F.length("source")).alias("short"), F.col("source").alias("source"))
+    key = F.struct(F.col("source").startswith(first_folder).alias("inside"), F.col("size").alias("size"), (-F.length("source")).alias("short"), F.col("source").alias("source"))
     best = files.groupBy(name.alias("name")).agg(F.max(key).alias("b"))
     return best.select("name", F.col("b.source").alias("source"), F.col("b.size").alias("size"))
 

@@ -16,8 +16,7 @@ def grade(cover: Column) -> tuple[Column, Column]:
     """Grade and score of a token coverage."""
     name = F.when(cover >= 0.3, "relevant").when(cover >= 0.1, "ambiguous").otherwise("irrelevant")
     score = F.when(cover >= 0.3, F.least(F.lit(1.0), cover + 0.5)).when(cover >= 0.1, cover + 0.3).otherwise(cover)
-    # Lifted off ties, where decimal and binary rounding part.
-    return name, F.round(score + 1e-9, 3)
+    return name, T.rounded(score, 3)
 
 
 def graded(pairs: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def support(answers: DataFrame, sources: DataFrame) -> DataFrame:
     every = sent.select("aid", "n").join(cover, ["aid", "n"], "left").withColumn("cover", F.coalesce("cover", F.lit(0.0)))
     summed = every.groupBy("aid").agg(F.avg("cover").alias("mean_cover"), F.count(F.when(F.col("cover") < 0.2, 1)).alias("n_unsupported"))
     out = answers.select("aid").join(summed, "aid", "left")
-    score = F.round(F.greatest(F.lit(0.0), 1.0 - F.coalesce("mean_cover", F.lit(0.0))) + 1e-9, 3)
+    score = T.rounded(F.greatest(F.lit(0.0), 1.0 - F.coalesce("mean_cover", F.lit(0.0))), 3)
     return out.select("aid", score.alias("hallucination_score"), (score < 0.3).alias("passed"), F.coalesce("n_unsupported", F.lit(0)).alias("n_unsupported"))
 
 

@@ -15,7 +15,7 @@ DOUBT = ("可能", "也许", "大概", "不确定")
 SHAPED = ("\n", "。", "：", "【")
 WEIGHTS = {"accuracy": 0.28, "completeness": 0.16, "relevance": 0.12, "citation_quality": 0.10, "time_score": 0.10, "anti_hallucination": 0.12, "format_score": 0.06, "fluency": 0.06}
 
-# Means are lifted by a billionth before rounding: on exact ties decimal and binary rounding part.
+# Means and scores are rounded in decimal arithmetic: on exact ties decimal and binary rounding part.
 CASES = """rp AS (SELECT report_id, any_value(id) AS id, any_value(question) AS question, any_value(answer_preview) AS a, any_value(latency_ms) AS latency_ms, any_value(no_knowledge) AS no_knowledge,
  any_value(used_mock_web) AS used_mock_web, any_value(hallucination_score) AS h, any_value(error) AS error, any_value(ok) AS ok, any_value(generated_at) AS generated_at FROM e2e_report GROUP BY report_id),
 cs AS (SELECT rp.*, coalesce(a, '') AS answer, s.expected_keywords AS kws, s.allow_refuse, s.category FROM rp JOIN e2e_set s USING (id))"""
@@ -59,7 +59,7 @@ s AS (SELECT report_id, category, allow_refuse, latency_ms, h, CASE WHEN coalesc
  CASE WHEN {_sql_any('answer', CITED)} THEN 9.0 WHEN answer <> '' THEN 3.0 ELSE 0.0 END AS citation_quality, CASE WHEN sec < 3 THEN 10.0 WHEN sec < 6 THEN 8.0 WHEN sec < 12 THEN 6.0 WHEN sec < 20 THEN 4.0 ELSE 2.0 END AS time_score,
  round(greatest(0.0, 10 - least(10.0, doubt * 2.0 + coalesce(h, 0) * 10)), 2) AS anti_hallucination, CASE WHEN {_sql_any('answer', SHAPED)} THEN 8.0 WHEN answer <> '' THEN 5.0 ELSE 0.0 END AS format_score,
  CASE WHEN length(answer) > 60 THEN 8.5 WHEN length(answer) > 20 THEN 6.0 ELSE 3.0 END AS fluency, least(10.0, length(answer) / 80.0 :: DOUBLE) AS ls FROM k),
-sc AS (SELECT * EXCLUDE (ls), round(ls * 0.45 :: DOUBLE + accuracy * 0.55 :: DOUBLE + 1e-9, 2) AS completeness FROM s),
+sc AS (SELECT * EXCLUDE (ls), CAST(round(CAST(ls * 0.45 :: DOUBLE + accuracy * 0.55 :: DOUBLE AS DECIMAL(28, 9)), 2) AS DOUBLE) AS completeness FROM s),
 t AS (SELECT *, {' + '.join(f'{k} :: DOUBLE * {w} :: DOUBLE' for k, w in WEIGHTS.items())} AS total_raw FROM sc)"""
 
 
@@ -86,7 +86,7 @@ def case_scores(spark, d):
         F.round(F.greatest(F.lit(0.0), 10 - F.least(F.lit(10.0), doubt * 2.0 + F.coalesce("hallucination_score", F.lit(0.0)) * 10)), 2).alias("anti_hallucination"),
         F.when(_any(answer, SHAPED), 8.0).when(answer != "", 5.0).otherwise(0.0).alias("format_score"),
         F.when(F.length(answer) > 60, 8.5).when(F.length(answer) > 20, 6.0).otherwise(3.0).alias("fluency"),
-        F.round(F.least(F.lit(10.0), F.length(answer) / 80) * 0.45 + accuracy * 0.55 + 1e-9, 2).alias("completeness"),
+        T.rounded(F.least(F.lit(10.0), F.length(answer) / 80) * 0.45 + accuracy * 0.55, 2).alias("completeness"),
     )
     return scored.withColumn("total_raw", sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0)))
 
@@ -102,11 +102,11 @@ _GRADE = "CASE WHEN {p} >= 0.85 AND {m} >= 7.5 THEN 'A' WHEN {p} >= 0.7 AND {m}
 @query(
     "a9_report_rollup",
     f"""{_SCORE_SQL}, g AS (SELECT category, allow_refuse, grouping(category, allow_refuse) AS level, count(*) AS n, avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) AS p, avg(total_raw) AS m, avg(h) AS h FROM t GROUP BY ROLLUP (category, allow_refuse))
-SELECT category, allow_refuse, level :: BIGINT AS level, n, round(p + 1e-9, 6) AS pass_rate, round(m + 1e-9, 6) AS mean_score, round(h + 1e-9, 6) AS mean_hallucination, {_GRADE.format(p='round(p + 1e-9, 6)', m='round(m + 1e-9, 6)')} AS grade FROM g""",
+SELECT category, allow_refuse, level :: BIGINT AS level, n, CAST(round(CAST(p AS DECIMAL(28, 9)), 6) AS DOUBLE) AS pass_rate, CAST(round(CAST(m AS DECIMAL(28, 9)), 6) AS DOUBLE) AS mean_score, CAST(round(CAST(h AS DECIMAL(28, 9)), 6) AS DOUBLE) AS mean_hallucination, {_GRADE.format(p='CAST(round(CAST(p AS DECIMAL(28, 9)), 6) AS DOUBLE)', m='CAST(round(CAST(m AS DECIMAL(28, 9)), 6) AS DOUBLE)')} AS grade FROM g""",
 )
 def report_rollup(spark, d):
     g = case_scores(spark, d).rollup("category", "allow_refuse").agg(
-        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)) + 1e-9, 6).alias("pass_rate"), F.round(F.avg("total_raw") + 1e-9, 6).alias("mean_score"), F.round(F.avg("h") + 1e-9, 6).alias("mean_hallucination")
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), T.rounded(F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)), 6).alias("pass_rate"), T.rounded(F.avg("total_raw"), 6).alias("mean_score"), T.rounded(F.avg("h"), 6).alias("mean_hallucination")
     )
     p, m = F.col("pass_rate"), F.col("mean_score")
     return g.withColumn("grade", F.when((p >= 0.85) & (m >= 7.5), "A").when((p >= 0.7) & (m >= 6.5), "B").when((p >= 0.55) & (m >= 5.5), "C").otherwise("D"))
@@ -115,7 +115,7 @@ def report_rollup(spark, d):
 _REL = f"""WITH {CASES}, k AS (SELECT report_id, category, h, question, answer, {S.mixed_tokens('question')} AS qt, {S.mixed_tokens('answer')} AS ant FROM cs WHERE question IS NOT NULL),
 o AS (SELECT *, len(list_intersect(qt, ant)) / greatest(len(qt), 1) AS o FROM k),
 r AS (SELECT report_id, category, CASE WHEN answer = '' OR question = '' THEN 0.0 WHEN {_sql_any('answer', RELEVANCY_REFUSALS)} THEN 0.25 WHEN len(qt) = 0 THEN 0.0 WHEN length({S.strip('answer')}) < 8 AND o < 0.1 THEN 0.0
- WHEN o > 0 THEN round(least(1.0, least(1.0, o * 1.2) * CASE WHEN length(answer) > 1000 THEN 0.8 WHEN length(answer) > 500 THEN 0.9 ELSE 1.0 END) :: DOUBLE + 1e-9, 3) ELSE 0.0 END AS relevancy, CASE WHEN answer = '' THEN 0.0 ELSE round(1 - h, 3) END AS faithfulness FROM o)"""
+ WHEN o > 0 THEN CAST(round(CAST(least(1.0, least(1.0, o * 1.2) * CASE WHEN length(answer) > 1000 THEN 0.8 WHEN length(answer) > 500 THEN 0.9 ELSE 1.0 END) :: DOUBLE AS DECIMAL(28, 9)), 3) AS DOUBLE) ELSE 0.0 END AS relevancy, CASE WHEN answer = '' THEN 0.0 ELSE round(1 - h, 3) END AS faithfulness FROM o)"""
 
 
 def relevancy_rows(spark, d):
@@ -130,7 +130,7 @@ def relevancy_rows(spark, d):
         .when(_any(answer, RELEVANCY_REFUSALS), 0.25)
         .when(F.size(q) == 0, 0.0)
         .when((F.length(T.strip("answer")) < 8) & (F.col("o") < 0.1), 0.0)
-        .when(F.col("o") > 0, F.round(F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("o") * 1.2) * penalty) + 1e-9, 3))
+        .when(F.col("o") > 0, T.rounded(F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("o") * 1.2) * penalty), 3))
         .otherwise(0.0)
     )
     return rows.select("report_id", "category", score.alias("relevancy"), F.when(answer == "", 0.0).otherwise(F.round(1 - F.col("hallucination_score"), 3)).alias("faithfulness"))
@@ -141,9 +141,9 @@ def answer_relevancy(spark, d):
     return relevancy_rows(spark, d)
 
 
-@query("a2_batch_means", f"{_REL} SELECT category, round(avg(relevancy) + 1e-9, 6) AS relevancy, round(avg(faithfulness) + 1e-9, 6) AS faithfulness, count(*) AS n FROM r GROUP BY category")
+@query("a2_batch_means", f"{_REL} SELECT category, CAST(round(CAST(avg(relevancy) AS DECIMAL(28, 9)), 6) AS DOUBLE) AS relevancy, CAST(round(CAST(avg(faithfulness) AS DECIMAL(28, 9)), 6) AS DOUBLE) AS faithfulness, count(*) AS n FROM r GROUP BY category")
 def batch_means(spark, d):
-    return relevancy_rows(spark, d).groupBy("category").agg(F.round(F.avg("relevancy") + 1e-9, 6).alias("relevancy"), F.round(F.avg("faithfulness") + 1e-9, 6).alias("faithfulness"), F.count(F.lit(1)).alias("n"))
+    return relevancy_rows(spark, d).groupBy("category").agg(T.rounded(F.avg("relevancy"), 6).alias("relevancy"), T.rounded(F.avg("faithfulness"), 6).alias("faithfulness"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a3_refusal_confusion", f"{_SCORE_SQL} SELECT coalesce(allow_refuse, false) AS may_refuse, refuse AS refused, passed, count(*) AS n FROM t GROUP BY ALL")
@@ -213,9 +213,9 @@ def weighted_overall(spark, d):
     return rows.groupBy("result_id").agg(F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6).alias("overall"), F.count(F.lit(1)).alias("n_scores"))
 
 
-@query("a21_dimension_means", f"WITH {RESULTS}, {_LONG} SELECT model, dim, round(avg(v) + 1e-9, 6) AS mean, count(v) AS n FROM lg GROUP BY CUBE (model, dim)")
+@query("a21_dimension_means", f"WITH {RESULTS}, {_LONG} SELECT model, dim, CAST(round(CAST(avg(v) AS DECIMAL(28, 9)), 6) AS DOUBLE) AS mean, count(v) AS n FROM lg GROUP BY CUBE (model, dim)")
 def dimension_means(spark, d):
-    return long_scores(spark, d).cube("model", "dim").agg(F.round(F.avg("v") + 1e-9, 6).alias("mean"), F.count("v").alias("n"))
+    return long_scores(spark, d).cube("model", "dim").agg(T.rounded(F.avg("v"), 6).alias("mean"), F.count("v").alias("n"))
 
 
 @query(
@@ -228,10 +228,10 @@ def grade_bands(spark, d):
     return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a34_model_means_padded", f"WITH {RESULTS} SELECT model, round(avg(CASE WHEN success THEN coalesce(scores.total, 0) ELSE 0 END) + 1e-9, 6) AS padded_mean, round(avg(scores.total) + 1e-9, 6) AS plain_mean, count(*) AS n FROM er GROUP BY model")
+@query("a34_model_means_padded", f"WITH {RESULTS} SELECT model, CAST(round(CAST(avg(CASE WHEN success THEN coalesce(scores.total, 0) ELSE 0 END) AS DECIMAL(28, 9)), 6) AS DOUBLE) AS padded_mean, CAST(round(CAST(avg(scores.total) AS DECIMAL(28, 9)), 6) AS DOUBLE) AS plain_mean, count(*) AS n FROM er GROUP BY model")
 def model_means(spark, d):
     total = F.col("scores.total")
-    return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model").agg(F.round(F.avg(F.when(F.col("success"), F.coalesce(total, F.lit(0.0))).otherwise(0.0)) + 1e-9, 6).alias("padded_mean"), F.round(F.avg(total) + 1e-9, 6).alias("plain_mean"), F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "evaluation_results").dropDuplicates(["result_id"]).groupBy("model").agg(T.rounded(F.avg(F.when(F.col("success"), F.coalesce(total, F.lit(0.0))).otherwise(0.0)), 6).alias("padded_mean"), T.rounded(F.avg(total), 6).alias("plain_mean"), F.count(F.lit(1)).alias("n"))
 
 
 _TECH = ("RAG", "LLM", "向量", "检索", "生成", "模型", "数据库", "API", "Agent", "框架")

@@ -43,11 +43,11 @@ def long_enough(spark, d):
 @query(
     "c6_best_per_name",
     """WITH f AS (SELECT source, sum(length(content)) AS size FROM (SELECT DISTINCT doc_id, source, content FROM chunks) WHERE source IS NOT NULL GROUP BY source)
-SELECT lower(split_part(source, '/', -1)) AS name, source, size :: BIGINT AS size FROM (SELECT *, row_number() OVER (PARTITION BY lower(split_part(source, '/', -1)) ORDER BY size DESC NULLS LAST, length(source), source DESC) AS t FROM f) WHERE t = 1""",
+SELECT lower(split_part(source, '/', -1)) AS name, source, size :: BIGINT AS size FROM (SELECT *, row_number() OVER (PARTITION BY lower(split_part(source, '/', -1)) ORDER BY starts_with(source, 'imports/') DESC, size DESC NULLS LAST, length(source), source DESC) AS t FROM f) WHERE t = 1""",
 )
 def best_per_name(spark, d):
     rows = table(spark, d, "chunks").filter("source is not null").select("doc_id", "source", "content").distinct()
-    return ingest.best_per_name(rows.groupBy("source").agg(F.sum(F.length("content")).alias("size")))
+    return ingest.best_per_name(rows.groupBy("source").agg(F.sum(F.length("content")).alias("size")), "imports/")
 
 
 _OLD = "old AS (SELECT DISTINCT doc_id AS chunk_id, md5(content) AS file_hash FROM chunks WHERE page <= 3 AND content IS NOT NULL)"

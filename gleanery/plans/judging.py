@@ -19,7 +19,7 @@ def _hits(spark, d, k=5):
 G1 = f"""{BM}, gt AS (SELECT bm.qid, bm.doc_id, rank, {S.mixed_tokens('q.query')} AS a, {S.mixed_tokens('d.text')} AS b FROM bm JOIN q USING (qid) JOIN documents d ON d.doc_id = bm.doc_id WHERE rank <= 5),
 gc AS (SELECT qid, doc_id, rank, len(list_intersect(a, b)) / greatest(len(a), 1) AS c FROM gt),
 g AS (SELECT qid, doc_id, rank, round(c, 6) AS coverage, CASE WHEN c >= 0.3 THEN 'relevant' WHEN c >= 0.1 THEN 'ambiguous' ELSE 'irrelevant' END AS grade,
-  round(CASE WHEN c >= 0.3 THEN least(1.0, 0.5 + c) WHEN c >= 0.1 THEN 0.3 + c ELSE c END :: DOUBLE + 1e-9, 3) AS relevance_score FROM gc)"""
+  CAST(round(CAST(CASE WHEN c >= 0.3 THEN least(1.0, 0.5 + c) WHEN c >= 0.1 THEN 0.3 + c ELSE c END :: DOUBLE AS DECIMAL(28, 9)), 3) AS DOUBLE) AS relevance_score FROM gc)"""
 
 
 @query("g1_graded_hits", f"WITH {G1} SELECT qid, doc_id, coverage, grade, relevance_score FROM g")
@@ -55,7 +55,7 @@ known AS (SELECT DISTINCT aid, unnest({S.mixed_tokens('text')}) AS token FROM sr
 cov AS (SELECT tok.aid, n, avg(CASE WHEN known.token IS NULL THEN 0.0 ELSE 1.0 END) AS c FROM tok LEFT JOIN known ON known.aid = tok.aid AND known.token = tok.token GROUP BY ALL),
 per AS (SELECT sent.aid, coalesce(c, 0) AS c FROM sent LEFT JOIN cov USING (aid, n)),
 tot AS (SELECT aid, avg(c) AS m, count(*) FILTER (c < 0.2) AS bad FROM per GROUP BY aid)
-SELECT aid, round(greatest(0, 1 - coalesce(m, 0)) :: DOUBLE + 1e-9, 3) AS hallucination_score, round(greatest(0, 1 - coalesce(m, 0)) :: DOUBLE + 1e-9, 3) < 0.3 AS passed, coalesce(bad, 0) AS n_unsupported FROM ans LEFT JOIN tot USING (aid)""",
+SELECT aid, CAST(round(CAST(greatest(0, 1 - coalesce(m, 0)) :: DOUBLE AS DECIMAL(28, 9)), 3) AS DOUBLE) AS hallucination_score, CAST(round(CAST(greatest(0, 1 - coalesce(m, 0)) :: DOUBLE AS DECIMAL(28, 9)), 3) AS DOUBLE) < 0.3 AS passed, coalesce(bad, 0) AS n_unsupported FROM ans LEFT JOIN tot USING (aid)""",
 )
 def support(spark, d):
     hits = _hits(spark, d).filter("doc_id <> qid").select(F.col("qid").alias("aid"), "text")

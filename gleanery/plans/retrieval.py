@@ -255,10 +255,15 @@ def code_sizes(spark, d):
     return vectors(spark, d).agg(n.alias("n_vectors"), dims.alias("dims"), (n * dims * 4).alias("float_bytes"), (n * dims + dims * 8).alias("scalar_bytes"), F.floor(n * dims / 8).alias("binary_bytes"))
 
 
-@query("v5_scalar_error")
+@query(
+    "v5_scalar_error",
+    """WITH f AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding) :: DOUBLE AS v FROM embeddings),
+r AS (SELECT dim, min(v) AS low, CASE WHEN max(v) = min(v) THEN min(v) + 1e-6 ELSE max(v) END AS high FROM f GROUP BY dim)
+SELECT dim :: INTEGER AS dim, round(max(abs((trunc((v - low) * 254.0 / (high - low) - 127.0) + 127) * (high - low) / 254.0 + low - v)), 7) AS max_error FROM f JOIN r USING (dim) GROUP BY dim""",
+)
 def scalar_error(spark, d):
     codes = vector.scalar_codes(vectors(spark, d))
-    return codes.groupBy("dim").agg(F.round(F.max(F.abs(F.col("decoded") - F.col("v"))), 9).alias("max_error"))
+    return codes.groupBy("dim").agg(F.round(F.max(F.abs(F.col("decoded") - F.col("v"))), 7).alias("max_error"))
 
 
 #: Lists of the inverted index, lists each vector stands in, and lists a query reads (a quarter).

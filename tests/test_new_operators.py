@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from gleanery.operators import catalogue, ingest, lexical, vector
-from gleanery.plans import routing
+from gleanery.plans import routing, steps
 
 
 def brute_bm25(queries, docs, k):
@@ -107,6 +107,12 @@ def test_stack_contradictions(spark):
     assert got == {("r", 3, "INTJ", "Ni-Te-Fi-Se", "Si-Fe-Ti-Ne")}
 
 
+def test_stated_stacks_come_first(spark):
+    rows = [(1, 10, 1, "what of intj", "no word of it"), (1, 11, 2, "what of intj", "INTJ: Ni-Te-Fi-Se"), (1, 12, 3, "what of intj", None), (2, 10, 1, "plain", "INTJ: Ni-Te-Fi-Se"), (2, 13, 2, "plain", "x")]
+    got = {tuple(r) for r in steps.stack_first(spark.createDataFrame(rows, "qid long, doc_id long, rank long, query string, text string")).collect()}
+    assert got == {(1, 11, 1), (1, 10, 2), (1, 12, 3), (2, 10, 1), (2, 13, 2)}
+
+
 def test_catalogue_refuses(spark):
     c = catalogue.Catalogue(resources={"documents": spark.range(3)})
 
