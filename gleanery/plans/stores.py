@@ -226,3 +226,13 @@ def backoff_delays(spark, d):
 def topic_states(spark, d):
     """Shared state of a bus: what was published last under each topic."""
     return stateful.topic_states(table(spark, d, "events"))
+
+
+@query("st8_paced_ingest", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def paced_ingest(spark, d):
+    """Files taken a few at a time: the reader waits for the writer, and every row arrives once."""
+    source, sink, mark = scratch(spark, "arrivals"), scratch(spark, "sink"), scratch(spark, "offsets")
+    table(spark, d, "events").select("event_type", "value").repartition(6).write.parquet(source)
+    stream = spark.readStream.schema("event_type string, value double").option("maxFilesPerTrigger", "2").parquet(source)
+    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
