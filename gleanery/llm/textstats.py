@@ -116,10 +116,12 @@ def _cells(line: str) -> int:
         return body.count("\t") + 1
     if '";"' in body or '","' in body:
         return len(re.split(r'"[;,]"', body))
-    gaps = len(re.findall(r"\S(?: {3,}|　{2,})(?=\S)", body))
+    gaps = len(re.findall(r"\S(?: {3,}|　{2,})(?=\S)", body)) if "   " in body or "　　" in body else 0
     if gaps >= 1 and not _LEADER.search(body):
         return gaps + 1
     for mark in (";", ",", "，"):
+        if body.count(mark) < 2:
+            continue
         fields = [f.strip() for f in body.split(mark)]
         if len(fields) >= 3 and max(map(len, fields)) <= 48 and not _SENTENCE_END.search(body):
             return len(fields)
