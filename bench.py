@@ -9,7 +9,7 @@ import time
 
 from gleanery.operators import vector
 from gleanery.plans import load
-from gleanery.runtime import build_session, table
+from gleanery.runtime import build_session, scratch, table
 
 #: Retrieval, indexing and reporting queries every user runs; the training-data queries follow if present.
 HEADLINE = ("c3_fixed_windows", "t8_sparse_vectors", "l1_bm25_top20", "v1_cosine_top10", "v4_binary_top10", "v7_ivf_recall", "j1_weighted_rrf", "k4_incremental_status", "a8_case_scores", "a9_report_rollup", "a10_latency_percentiles", "g1_graded_hits", "p2_found", "st10_tumbling", "st1_rate_limited")
@@ -40,7 +40,7 @@ def main() -> int:
 
     # Rates: vectors written per second, and exact and quantised search per query.
     store = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    n_vectors, out = store.count(), f"/tmp/gleanery-bench-{os.getpid()}"
+    n_vectors, out = store.count(), scratch(spark, "bench")
     began = time.time()
     store.repartition(int(cpus)).write.mode("overwrite").parquet(out)
     write_s = time.time() - began
@@ -49,9 +49,6 @@ def main() -> int:
     began = time.time()
     run(vector.exact_top(asked, store))
     search_s = time.time() - began
-    import shutil
-
-    shutil.rmtree(out, ignore_errors=True)
     rates = {"vectors_written_per_s": round(n_vectors / write_s), "exact_search_ms_per_query": round(1000 * search_s / max(n_queries, 1), 2), "vectors": n_vectors}
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "rates": rates, "sf": os.path.basename(folder.rstrip("/"))}), flush=True)
     spark.stop()

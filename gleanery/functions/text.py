@@ -64,8 +64,9 @@ def clean_query(c) -> Column:
 
 def char_pairs(c) -> Column:
     """Set of character pairs after taking out white space."""
-    t = F.regexp_replace(_col(c), r"(?U)\s+", "")
-    return F.array_distinct(F.when(F.length(t) > 1, _grams(t)).otherwise(F.array().cast("array<string>")))
+    # Bound to a lambda's variable, the text is squeezed once and not for every pair.
+    squeezed = F.array(F.regexp_replace(_col(c), r"(?U)\s+", ""))
+    return F.array_distinct(F.flatten(F.transform(squeezed, lambda t: F.when(F.length(t) > 1, _grams(t)).otherwise(F.array().cast("array<string>")))))
 
 
 def coverage(query: Column, document: Column) -> Column:

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.functions import sqltext as S
-from gleanery.functions import text as T
 from gleanery.operators import judge, lexical
 from gleanery.plans.registry import query
 from gleanery.plans.retrieval import BM, documents, text_queries

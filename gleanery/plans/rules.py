@@ -1,7 +1,6 @@
 """Question rules, filters and text primitives over the question and document tables."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleanery.functions import sqltext as S
 from gleanery.functions import text as T
@@ -155,12 +154,6 @@ def source_filter(spark, d):
     return flagged.join(some, F.col("collection").eqNullSafe(F.col("grp"))).filter("keep or not some").select("doc_id", "source", "collection")
 
 
-@query("f10_sanitised", f"WITH {QUESTIONS} SELECT q, substr(replace({S.strip('q')}, chr(0), ''), 1, 15) AS kept, length({S.strip('q')}) > 15 AS was_cut, regexp_matches(q, '(?i)ignore (?:all |the )?previous|忽略(?:上述|之前)|system prompt') AS suspicious, {S.strip('q')} = '' AS is_blank FROM qs")
-def sanitised(spark, d):
-    s = T.strip("q")
-    return questions(spark, d).select("q", F.substring(F.translate(s, "\u0000", ""), 1, 15).alias("kept"), (F.length(s) > 15).alias("was_cut"), F.col("q").rlike("(?i)ignore (?:all |the )?previous|忽略(?:上述|之前)|system prompt").alias("suspicious"), (s == "").alias("is_blank"))
-
-
 def _injected(space):
     return rf"(?i)ignore{space}+(?:all{space}+)?previous{space}+instructions|system{space}*:{space}*you{space}+are|<{space}*/?{space}*system{space}*>"
 
@@ -219,20 +212,3 @@ def latest_per_question(spark, d):
 )
 def question_search(spark, d):
     return questions(spark, d).filter(F.contains(F.lower("q"), F.lit("权重")) | F.contains(F.lower("q"), F.lit("cache")))
-
-
-@query(
-    "o6_budget_sentences",
-    f"""WITH s AS (SELECT doc_id, collection, list_transform(range(1, len(p) + 1), lambda i: {{'n': i, 's': p[i]}}) AS ps FROM (SELECT doc_id, collection, {S.sentences('text', '。\\n！？.!?\\r', 4)} AS p FROM documents WHERE text IS NOT NULL)),
-e AS (SELECT doc_id, collection, u.n AS n, u.s AS s FROM (SELECT doc_id, collection, unnest(ps) AS u FROM s)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(s, 1, 20) ORDER BY n) AS turn FROM e),
-r AS (SELECT doc_id, n, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY n) AS used FROM f WHERE turn = 1)
-SELECT doc_id, n :: INTEGER AS n, used :: BIGINT AS used FROM r WHERE used <= 200""",
-)
-def budget_sentences(spark, d):
-    """Sentences in order until the budget would be passed; a document's sentences are its own, bounded group."""
-    parts = T.sentences("text", "。\\n！？.!?\\r", 4)
-    rows = table(spark, d, DOCS).filter("text is not null").select("doc_id", F.posexplode(parts).alias("n", "s"))
-    first = rows.groupBy("doc_id", F.substring("s", 1, 20).alias("opening")).agg(F.min(F.struct(F.col("n") + 1, F.length("s"))).alias("r")).select("doc_id", F.col("r.col1").alias("n"), F.col("r.col2").alias("size"))
-    used = F.sum("size").over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    return first.select("doc_id", "n", used.alias("used")).filter("used <= 200")

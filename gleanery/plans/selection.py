@@ -9,7 +9,6 @@ from gleanery.operators import fusion, ingest, judge, lexical, vector
 from gleanery.plans.judging import G1, _hits
 from gleanery.plans.registry import query
 from gleanery.plans.retrieval import _D64, BM, SP, VQ, _rrf_sql, _two_lists, documents, text_queries, vector_queries, vectors
-from gleanery.plans.routing import REP, rep
 from gleanery.runtime import cut_lineage, table
 
 # --- web-like results ------------------------------------------------------------------------------

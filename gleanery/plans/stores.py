@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from gleanery.functions import sqltext as S
-from gleanery.functions import text as T
 from gleanery.operators import ingest, lexical
 from gleanery.plans.registry import query
 from gleanery.plans.retrieval import BM, documents, text_queries
 from gleanery.runtime import scratch, table
+from gleanery.sources import files
 from gleanery.streaming import stateful
 
 # --- scans -----------------------------------------------------------------------------------------
@@ -42,19 +41,19 @@ _OUTCOME = "CASE WHEN prefix <> '' THEN 'secret' WHEN folder = 'node_modules' TH
 @query("s1_s3_scanned_files", f"WITH {_FILES} SELECT prefix || source || '.' || ext AS name, ext AS extension, bytes AS n_bytes, {_OUTCOME} AS outcome FROM fk")
 def scanned_files(spark, d):
     """Extensions, hidden and secret names, folders and sizes decide; no content is read."""
-    files = ingest.scan_files(spark, source_files(spark, d), **_LIMITS)
-    return files.select("name", "extension", F.col("length").alias("n_bytes"), F.coalesce("skipped", F.lit("kept")).alias("outcome"))
+    scanned = files.scan_files(spark, source_files(spark, d), **_LIMITS)
+    return scanned.select("name", "extension", F.col("length").alias("n_bytes"), F.coalesce("skipped", F.lit("kept")).alias("outcome"))
 
 
 @query("s3_s4_scan_counters", f"WITH {_FILES} SELECT {_OUTCOME} AS outcome, count(*) AS n_files, sum(bytes) :: BIGINT AS n_bytes FROM fk GROUP BY ALL")
 def scan_counters(spark, d):
-    return ingest.scan_counts(ingest.scan_files(spark, source_files(spark, d), **_LIMITS))
+    return files.scan_counts(files.scan_files(spark, source_files(spark, d), **_LIMITS))
 
 
 @query("s5_decoded_files", f"WITH {_FILES}, k AS (SELECT * FROM fk WHERE {_OUTCOME} = 'kept') SELECT prefix || source || '.' || ext AS name, bytes AS n_bytes FROM k")
 def decoded_files(spark, d):
     """Contents of the kept files, of which only these were read."""
-    kept = ingest.decode_files(ingest.read_files(spark, source_files(spark, d), **{k: v for k, v in _LIMITS.items() if k != "least"}, least=_LIMITS["least"]))
+    kept = files.decode_files(files.read_files(spark, source_files(spark, d), **{k: v for k, v in _LIMITS.items() if k != "least"}, least=_LIMITS["least"]))
     return kept.select(F.element_at(F.split("source", "/"), -1).alias("name"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 

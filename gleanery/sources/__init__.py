@@ -1 +1 @@
-
+"""Sources that are no tables."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import fusion, graph, ingest, judge, lexical, rules, vector
+from gleanery.sources import files as file_source
 from gleanery.streaming import stateful
 
 
@@ -95,10 +96,10 @@ def test_indexes_reach_their_recall(spark):
     truth = vector.exact_top(asked, store, metric="l2")
     sample = vector.fit_sample(store)
     middle = vector.k_means(sample, 16)
-    lists = vector.inverted_lists(store, middle)
+    lists = vector.inverted_lists(store, middle, 1)
     mean = lambda found: vector.recall(found, truth, 10).agg(F.avg("recall")).first()[0]
     assert lists.count() == 2000
-    assert mean(vector.list_top(asked, lists, middle, 6)) >= 0.9
+    assert mean(vector.list_top(asked, lists, middle, 6, copies=1)) >= 0.9
     assert mean(vector.coded_top(asked, store, vector.Codebooks(sample, 4, 64))) >= 0.9
     assert mean(vector.coded_top(asked, store, vector.Codebooks(sample, 2, 32, layers=3))) >= 0.9
     error = np.abs(vector.Codebooks(sample, 4, 64, 2).decode(vector.Codebooks(sample, 4, 64, 2).encode(sample)) - sample).mean()
@@ -141,12 +142,12 @@ def test_scan_and_decode(spark, tmp_path):
         path.parent.mkdir(exist_ok=True)
         path.write_text(body)
     (tmp_path / "bad.txt").write_bytes(b"ok \xff\xfe bytes and more text, long enough to keep")
-    scanned = ingest.scan_files(spark, str(tmp_path), skip_dirs=("node_modules",))
+    scanned = file_source.scan_files(spark, str(tmp_path), skip_dirs=("node_modules",))
     reasons = {r["name"]: r["skipped"] for r in scanned.collect()}
     assert reasons["a.md"] is None and reasons["b.exe"] == "extension" and reasons["c.txt"] == "too_small" and reasons["d.py"] == "directory" and reasons["credentials.json"] == "secret"
-    decoded = {r["source"].rsplit("/", 1)[-1]: r for r in ingest.decode_files(ingest.read_files(spark, str(tmp_path), skip_dirs=("node_modules",))).collect()}
+    decoded = {r["source"].rsplit("/", 1)[-1]: r for r in file_source.decode_files(file_source.read_files(spark, str(tmp_path), skip_dirs=("node_modules",))).collect()}
     assert set(decoded) == {"a.md", "e.py", "bad.txt"}
-    assert {r["outcome"] for r in ingest.scan_counts(scanned).collect()} >= {"kept", "secret"}
+    assert {r["outcome"] for r in file_source.scan_counts(scanned).collect()} >= {"kept", "secret"}
 
 
 @pytest.mark.parametrize("seed", range(5))
