@@ -37,7 +37,7 @@ _SAFE, _LONG, _HUGE = 2**53, 2**63, 10**38
 
 #: A file header: one row per path with how many values have each kind, and the widest numbers met.
 _COUNTS = (*KINDS, "n_float", "n_unsafe", "n_big", "n_huge")
-_HEADER_SCHEMA = "series_id long, file_id long, path string, parent string, " + ", ".join(f"{c} long" for c in _COUNTS)
+_HEADER_SCHEMA = "file_id long, path string, parent string, " + ", ".join(f"{c} long" for c in _COUNTS)
 _VALUE_SCHEMA = "file_id long, case_id long, path string, value string"
 
 
@@ -93,14 +93,14 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial headers of the lines of one task: a row per file and path, however many lines there are."""
     held: dict[tuple, list[int]] = {}
     for batch in batches:
-        for s, f, text in zip(*(batch.column(c).to_pylist() for c in ("series_id", "file_id", "payload")), strict=True):
+        for f, text in zip(*(batch.column(c).to_pylist() for c in ("file_id", "payload")), strict=True):
             record = _record(text)
             if record is None:
                 continue
             for path, parent, value in _walk(record):
-                counts = held.get((s, f, path, parent))
+                counts = held.get((f, path, parent))
                 if counts is None:
-                    counts = held[s, f, path, parent] = [0] * len(_COUNTS)
+                    counts = held[f, path, parent] = [0] * len(_COUNTS)
                 kind = _kind(value)
                 counts[KINDS.index(kind)] += 1
                 if kind == "number":
@@ -117,9 +117,9 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _header_batch(held: dict[tuple, list[int]]) -> pa.RecordBatch:
     keys, counts = list(held), list(held.values())
-    columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
+    columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
     columns += [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(_COUNTS))]
-    return pa.RecordBatch.from_arrays(columns, names=["series_id", "file_id", "path", "parent", *_COUNTS])
+    return pa.RecordBatch.from_arrays(columns, names=["file_id", "path", "parent", *_COUNTS])
 
 
 #: Lines of a file that are read together; the lines of a longer file are dealt to several tasks.
@@ -138,22 +138,27 @@ def sound_lines(lines: DataFrame) -> DataFrame:
 
 def file_headers(sound: DataFrame) -> DataFrame:
     """Header schema of every file, read in parallel: partial counts per task, added up per file and path."""
-    return sound.mapInArrow(_headers, _HEADER_SCHEMA).groupBy("series_id", "file_id", "path", "parent").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return sound.mapInArrow(_headers, _HEADER_SCHEMA).groupBy("file_id", "path", "parent").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-def promoted(headers: DataFrame, *keys: str) -> DataFrame:
-    """Headers folded through the lattice over all rows of equal ``keys``: ``data_type``, ``kind`` and ``n_files``.
+def typed(counts: DataFrame) -> DataFrame:
+    """Counts with what the lattice makes of them: ``data_type``, and ``kind``, what most values are (ties: the order of KINDS).
 
     boolean; long < 38-digit decimal; long < double while no integer is beyond a double's exact range; text
-    above all. Arrays and objects are JSON text. ``kind`` is what most values are (ties: the order of KINDS).
+    above all. Arrays and objects are JSON text.
     """
-    folded = headers.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _COUNTS], F.count_distinct("file_id").alias("n_files"))
     total = sum((F.col(k) for k in KINDS), F.lit(0))
     number = F.when(F.col("n_float") > 0, F.when(F.col("n_unsafe") == 0, "double").otherwise("string")).when(F.col("n_huge") > 0, "string").when(F.col("n_big") > 0, "decimal(38,0)").otherwise("long")
     data_type = F.when(F.col("number") == total, number).when(F.col("boolean") == total, "boolean").otherwise("string")
     best = F.greatest(*KINDS)
     kind = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in KINDS])
-    return folded.select(*keys, data_type.alias("data_type"), kind.alias("kind"), "n_files")
+    return counts.withColumn("data_type", data_type).withColumn("kind", kind)
+
+
+def promoted(headers: DataFrame, *keys: str) -> DataFrame:
+    """Headers folded through the lattice over all rows of equal ``keys``: ``data_type``, ``kind`` and ``n_files``."""
+    folded = headers.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _COUNTS], F.count_distinct("file_id").alias("n_files"))
+    return typed(folded).select(*keys, "data_type", "kind", "n_files")
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +198,7 @@ def schema_changes(lines: DataFrame, share: float = 0.8, least: int = 3) -> Data
     # The lines are parsed twice rather than kept exploded; what is kept (headers, pairs, changes) is schema-sized.
     sound = sound_lines(lines)
     headers = cut_lineage(file_headers(sound))
-    schema = promoted(headers, "file_id", "path", "parent").select("file_id", "path", "parent", "kind")
+    schema = typed(headers).select("file_id", "path", "parent", "kind")
     pairs = files_in_order(lines)
     new = pairs.join(schema, "file_id").select("file_id", "path", "parent", F.col("kind").alias("new_kind"))
     old = pairs.join(schema.withColumnRenamed("file_id", "old_file"), "old_file").select("file_id", "old_file", "path", "parent", F.col("kind").alias("old_kind"))
@@ -252,7 +257,7 @@ def _best_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def change_log(lines: DataFrame) -> DataFrame:
     """The changes in order: series, number of the file in it, then path; with the lattice's type before and after."""
     changes = schema_changes(lines)
-    types = promoted(cut_lineage(file_headers(sound_lines(lines))), "file_id", "path").select("file_id", "path", "data_type")
+    types = cut_lineage(typed(file_headers(sound_lines(lines))).select("file_id", "path", "data_type"))
     placed = changes.join(files_in_order(lines), "file_id")
     before = types.select(F.col("file_id").alias("old_file"), "path", F.col("data_type").alias("old_type"))
     after = types.select("file_id", F.col("path").alias("now_path"), F.col("data_type").alias("new_type"))
