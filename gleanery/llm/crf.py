@@ -18,18 +18,21 @@ class LinearChain:
         params = [self.emission, self.step, self.first]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         total = sum(len(y) for y in labels)
+        # Sequences of one length are worked on together.
+        groups = []
+        for n in sorted({len(y) for y in labels}):
+            same = [i for i, y in enumerate(labels) if len(y) == n]
+            groups.append((np.stack([features[i] for i in same]), np.stack([labels[i] for i in same])))
         for r in range(1, rounds + 1):
             grads = [np.zeros_like(p) for p in params]
-            for x, y in zip(features, labels, strict=True):
-                scores = x @ self.emission
-                node, edge = self._marginals(scores)
-                gold = np.zeros_like(node)
-                gold[np.arange(len(y)), y] = 1
-                grads[0] += x.T @ (gold - node)
-                grads[2] += gold[0] - node[0]
-                if len(y) > 1:
+            for x, y in groups:
+                node, edge = self._marginals(x @ self.emission)
+                gold = np.eye(node.shape[2])[y]
+                grads[0] += np.tensordot(x, gold - node, ([0, 1], [0, 1]))
+                grads[2] += (gold[:, 0] - node[:, 0]).sum(0)
+                if y.shape[1] > 1:
                     grads[1] -= edge
-                    np.add.at(grads[1], (y[:-1], y[1:]), 1)
+                    np.add.at(grads[1], (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
             for p, g, (m, v) in zip(params, grads, moments, strict=True):
                 g = g / total - decay * p
                 m += 0.1 * (g - m)
@@ -38,18 +41,19 @@ class LinearChain:
         return self
 
     def _marginals(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, k = scores.shape
-        ahead, back = np.zeros((n, k)), np.zeros((n, k))
-        ahead[0] = self.first + scores[0]
+        """Label probabilities of each place and summed step probabilities, for sequences of one length."""
+        m, n, k = scores.shape
+        ahead, back = np.zeros((m, n, k)), np.zeros((m, n, k))
+        ahead[:, 0] = self.first + scores[:, 0]
         for t in range(1, n):
-            ahead[t] = scores[t] + _logsum(ahead[t - 1][:, None] + self.step, 0)
+            ahead[:, t] = scores[:, t] + _logsum(ahead[:, t - 1, :, None] + self.step, 1)
         for t in range(n - 2, -1, -1):
-            back[t] = _logsum(self.step + scores[t + 1] + back[t + 1], 1)
-        z = _logsum(ahead[-1], 0)
+            back[:, t] = _logsum(self.step + (scores[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        z = _logsum(ahead[:, -1], 1)
         edge = np.zeros((k, k))
         for t in range(1, n):
-            edge += np.exp(ahead[t - 1][:, None] + self.step + scores[t] + back[t] - z)
-        return np.exp(ahead + back - z), edge
+            edge += np.exp(ahead[:, t - 1, :, None] + self.step + (scores[:, t] + back[:, t])[:, None, :] - z[:, None, None]).sum(0)
+        return np.exp(ahead + back - z[:, None, None]), edge
 
     def decode(self, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels of all sequences at once: step t works on every sequence longer than t."""
