@@ -367,5 +367,11 @@ def evidence(chunks: DataFrame) -> DataFrame:
 
 
 def clean(chunks: DataFrame) -> DataFrame:
-    """The records that are left when all residue is kept out; those without an id are judged by their kind alone."""
-    return chunks.join(residue(chunks).select("doc_id"), "doc_id", "left_anti")
+    """The records that are left when all residue is kept out; a record without an id goes by its contents."""
+    contents = F.sha2(F.concat_ws("\u0001", F.coalesce("content", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce(F.to_json("metadata"), F.lit(""))), 256)
+    keyed = chunks.withColumn(_KEY, F.coalesce("doc_id", F.concat(F.lit("\u0001"), contents)))
+    found = residue(keyed.select(F.col(_KEY).alias("doc_id"), "content", "source", "metadata")).select(F.col("doc_id").alias(_KEY))
+    return keyed.join(found, _KEY, "left_anti").drop(_KEY)
+
+
+_KEY = "__record_key"

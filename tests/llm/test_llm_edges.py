@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import leakage, mixing, neardup, pairs, residue, sketch, splitting, textstats
 
-CLASHES = ("kind", "host", "notice", "piece_no", "n", "windows", "mark", "rank", "item_id", "tokens", "weight", "key", "bucket", "lang_mid", "n_docs", "available", "whole", "table_name", "n_rows", "salt")
+CLASHES = ("kind", "host", "notice", "piece_no", "n", "windows", "mark", "rank", "item_id", "tokens", "weight", "key", "bucket", "lang_mid", "n_docs", "available", "whole", "table_name", "n_rows", "salt", "row", "score", "body", "other", "sentences", "sizes", "mismatch", "cover", "duplicated", "host_share", "block", "counts", "fragment", "start", "segment", "role", "before", "upto")
 
 
 def dressed(df):
@@ -30,7 +30,8 @@ def test_chunks(spark):
     assert sorted((r["doc_id"] or "", r["kind"]) for r in residue.residue(df).collect()) == [("", "script_notice"), ("a", "placeholder")]
     same(splitting.split_documents(df), splitting.split_documents(dressed(df)))
     assert splitting.split_documents(df).count() == 3
-    assert residue.clean(dressed(df)).count() == 2
+    # Of the records without an id the notice goes and the knowledge stays.
+    assert [r["content"] for r in residue.clean(dressed(df)).collect()] == ["x" * 900]
 
 
 def test_entries(spark):
