@@ -4,7 +4,7 @@ A response is cut into clauses. A linear-chain conditional random field tags eac
 refusal, echo of the question, foreign (another language than the question), unfinished, courtesy,
 error text or empty; the share of the response each tag covers, and for truncation the tag of its last
 clause, give the pair's defect. The field is trained here on the labelled clauses below (a fixed set of
-about 300 sequences, no table data), in seconds.
+662 sequences, no table data), in seconds.
 
 Clauses are split and described with Arrow's vectorised string kernels, a whole batch at a time, and
 all sequences of a batch are decoded together.
