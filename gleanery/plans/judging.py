@@ -7,12 +7,13 @@ from gleanery.functions import sqltext as S
 from gleanery.operators import judge, lexical
 from gleanery.plans.registry import query
 from gleanery.plans.retrieval import BM, documents, text_queries
-from gleanery.runtime import table
+from gleanery.runtime import cut_lineage, table
 
 
 def _hits(spark, d, k=5):
     q, docs = text_queries(spark, d), documents(spark, d)
-    return lexical.bm25(q, docs, k).select("qid", "doc_id", "rank").join(q, "qid").join(docs, "doc_id")
+    # Callers read the hits more than once; these are k rows a question.
+    return cut_lineage(lexical.bm25(q, docs, k).select("qid", "doc_id", "rank")).join(q, "qid").join(docs, "doc_id")
 
 
 G1 = f"""{BM}, gt AS (SELECT bm.qid, bm.doc_id, rank, {S.mixed_tokens('q.query')} AS a, {S.mixed_tokens('d.text')} AS b FROM bm JOIN q USING (qid) JOIN documents d ON d.doc_id = bm.doc_id WHERE rank <= 5),
