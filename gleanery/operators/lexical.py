@@ -12,11 +12,13 @@ ranks do not depend on the order of summation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery.functions.text import bag_tokens, stable_slot
 from gleanery.operators import scans
@@ -140,6 +142,8 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int | None = 20) -> DataFr
 
 #: Folders the postings are dealt to by term; a search reads those of its terms only.
 BUCKETS = 32
+#: Documents whose postings of the queries' terms a task gathers from the folders.
+GROUP_DOCUMENTS = 20_000
 
 
 def _bucket(term="term"):
@@ -150,8 +154,13 @@ def write_index(documents: DataFrame, path: str) -> None:
     """Postings of ``documents(doc_id, text)``, in folders by term and sorted by it, and the term statistics."""
     documents = documents.filter("text is not null")
     bags = spread(documents.select("doc_id", "text")).select("doc_id", bag_tokens("text").alias("bag"))
-    rows = bags.select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rows.withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    if scans.scannable(documents.select(F.col("doc_id").alias("qid")), documents):
+        # A document is one row, so its terms are counted where it is read and written by that task.
+        doc = documents.schema["doc_id"].dataType
+        rows = bags.mapInArrow(scans.counted(to_arrow_type(doc)), f"doc_id {doc.simpleString()}, dl int, term string, tf long").withColumn("bucket", _bucket())
+    else:
+        rows = bags.select("doc_id", F.size("bag").alias("dl"), F.explode("bag").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     term_statistics(documents).write.mode("overwrite").parquet(f"{path}/terms")
 
 
@@ -162,8 +171,13 @@ def search_index(queries: DataFrame, path: str, k: int | None = 20) -> DataFrame
     terms = asked.select("term").distinct()
     buckets = [r[0] for r in terms.select(_bucket()).distinct().collect()]  # BUCKETS at most
     stored = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+    statistics = spark.read.parquet(f"{path}/terms")
+    if k is not None and scans.plain_ids(queries, stored):
+        size = statistics.filter(F.col("term") == _DOCUMENTS).first()
+        groups = math.ceil((size["n"] if size else 1) / GROUP_DOCUMENTS) or 1
+        return scanned_postings(asked, lambda numbers: scans.gathered(stored.join(F.broadcast(numbers), "term"), groups), stored, statistics, k)
     matched = stored.join(bounded_broadcast(terms, BROADCAST_TERMS), "term", "left_semi").select("doc_id", "dl", "term", "tf")
-    return scored_postings(asked, matched, spark.read.parquet(f"{path}/terms"), k)
+    return scored_postings(asked, matched, statistics, k)
 
 
 def update_index(path: str, into: str, changed: DataFrame, removed: DataFrame) -> None:
