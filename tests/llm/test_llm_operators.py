@@ -424,3 +424,17 @@ def test_non_prose_kinds(spark):
     by_id = {r["doc_id"]: r for r in stats.collect()}
     assert by_id[506]["n_words"] == 0 and by_id[504]["lang"] == "en" and by_id[0]["mean_word"] > 2
     assert textstats.non_prose(textstats.document_stats(df.limit(0))).count() == 0
+
+
+def test_near_duplicate_segments_are_four_bytes_a_window():
+    import pyarrow as pa
+
+    class Held:
+        value = neardup.Order(np.full((2, 2**16), 5, np.int64), 16)
+
+    texts = pa.RecordBatch.from_pydict({"id": ["a", "b"], "content": ["a text of some words and no more", ""]})
+    rows = next(neardup._segments(Held, 5, 0.7)(iter([texts]))).to_pylist()
+    n = len(neardup.windows("a text of some words and no more"))
+    assert sum(len(r["segment"]) for r in rows) == 4 * neardup.early(n, 0.7)[1]
+    tally = next(neardup._tally(Held, 5, 0.7)(iter([texts]))).to_pylist()
+    assert sorted(r["fragment"] for r in rows) == [r["fragment"] for r in tally] and all(r["n"] == 1 for r in tally)
