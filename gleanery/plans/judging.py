@@ -10,10 +10,16 @@ from gleanery.plans.retrieval import BM, documents, text_queries
 from gleanery.runtime import cut_lineage, table
 
 
-def _hits(spark, d, k=5):
+#: Hits that are broadcast with their questions (about 200 bytes each); more meet the texts by an exchange.
+BROADCAST_HITS = 200_000
+
+
+def _hits(spark, d, k=5, *more):
+    """``doc_id, qid, rank, query, text`` and ``more`` columns of the document; the texts are read where they lie and not shuffled."""
     q, docs = text_queries(spark, d), documents(spark, d)
     # Callers read the hits more than once; these are k rows a question.
-    return cut_lineage(lexical.bm25(q, docs, k).select("qid", "doc_id", "rank")).join(q, "qid").join(docs, "doc_id")
+    top = cut_lineage(lexical.bm25(q, docs, k).select("qid", "doc_id", "rank").join(q, "qid"))
+    return lexical.bounded_broadcast(top, BROADCAST_HITS).join(table(spark, d, "documents").select("doc_id", "text", *more), "doc_id")
 
 
 G1 = f"""{BM}, gt AS (SELECT bm.qid, bm.doc_id, rank, {S.mixed_tokens('q.query')} AS a, {S.mixed_tokens('d.text')} AS b FROM bm JOIN q USING (qid) JOIN documents d ON d.doc_id = bm.doc_id WHERE rank <= 5),
@@ -72,8 +78,7 @@ g AS (SELECT qid, topic, count(DISTINCT value) AS n_values, count(DISTINCT sourc
 SELECT * EXCLUDE (first) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM g WHERE n_values > 1 AND n_sources > 1) WHERE place <= 3""",
 )
 def number_conflicts(spark, d):
-    sources = table(spark, d, "documents").select("doc_id", "source")
-    return judge.number_conflicts(_hits(spark, d).join(sources, "doc_id").select("qid", F.col("rank").alias("ord"), "source", "text"))
+    return judge.number_conflicts(_hits(spark, d, 5, "source").select("qid", F.col("rank").alias("ord"), "source", "text"))
 
 
 RESULTS = "er AS (SELECT result_id, any_value(model) AS model, any_value(query) AS query, any_value(response) AS response, any_value(latency) AS latency, any_value(success) AS success, any_value(scores) AS scores, any_value(evaluated_at) AS evaluated_at FROM evaluation_results GROUP BY result_id)"

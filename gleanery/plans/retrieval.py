@@ -80,6 +80,10 @@ def sparse_vectors(spark, d):
 _PAIR = f"""lex AS (SELECT qid, doc_id, rank FROM bm WHERE rank <= 20), den AS (SELECT qid, doc_id, rank FROM sp WHERE rank <= 20)"""
 
 
+#: Hits that are broadcast (about 50 bytes each); more meet the documents by an exchange.
+BROADCAST_HITS = 500_000
+
+
 def _two_lists(spark, d, k=20):
     q, docs = text_queries(spark, d), documents(spark, d)
     return cut_lineage(lexical.bm25(q, docs, k)), cut_lineage(lexical.sparse_top(q, docs, k))
@@ -102,7 +106,7 @@ def plain_rrf(spark, d):
 
 
 def _paths(spark, d):
-    a, b = _two_lists(spark, d)
+    a, b = (lexical.bounded_broadcast(x, BROADCAST_HITS) for x in _two_lists(spark, d))
     keys = table(spark, d, "documents").select("doc_id", "source", "collection")
     return {"lexical": a.join(keys, "doc_id"), "sparse": b.join(keys, "doc_id")}
 
@@ -162,7 +166,7 @@ def top_up(spark, d):
 
 @query("j13_enriched_hits", f"WITH {BM} SELECT qid, bm.doc_id, rank, source, collection, n_chars FROM bm JOIN documents USING (doc_id) WHERE rank <= 5")
 def enriched_hits(spark, d):
-    top = lexical.bm25(text_queries(spark, d), documents(spark, d), 5)
+    top = lexical.bounded_broadcast(cut_lineage(lexical.bm25(text_queries(spark, d), documents(spark, d), 5)), BROADCAST_HITS)
     return top.join(table(spark, d, "documents").select("doc_id", "source", "collection", "n_chars"), "doc_id").select("qid", "doc_id", "rank", "source", "collection", "n_chars")
 
 
