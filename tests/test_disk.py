@@ -35,7 +35,7 @@ def shuffled(spark):
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
 
 
-@pytest.mark.parametrize("name", ["g3_number_conflicts", "g9_retrieval_quality", "o3_promoted_hits", "a1_answer_metrics", "j3_path_rrf", "j13_enriched_hits"])
+@pytest.mark.parametrize("name", ["g3_number_conflicts", "g9_retrieval_quality", "o3_promoted_hits", "a1_answer_metrics", "j3_path_rrf", "j13_enriched_hits", "g8_domain_guard"])
 def test_exchanges_write_less_than_the_input(spark, folder, name):
     size = sum(p.stat().st_size for p in (folder / "documents.parquet").glob("*.parquet"))
     before = shuffled(spark)
